@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, html, mixing, quality, sharding, topk
+from . import bpe, html, mixing, quality, sharding, topk, toxicity, urls
 
 QUERIES = {
     "op1_topk_search": topk.query,
+    "op2_toxicity": toxicity.query,
     "op3_html_extraction": html.query,
     "op4_quality_rules": quality.query,
+    "op5_url_filters": urls.query,
     "op6_sharding": sharding.query,
     "op7_bpe": bpe.query,
     "op8_mixing": mixing.query,
