@@ -2,7 +2,24 @@
 
 from __future__ import annotations
 
-from . import bpe, html, mixing, quality, sharding, topk, toxicity, urls
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..cluster import ship
+from . import bpe, hmm, html, mixing, quality, sharding, topk, toxicity, urls
+
+
+
+def _shipped(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, after its code has gone to the executors."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return run(spark, sf_dir)
+
+    return query
+
 
 QUERIES = {
     "op1_topk_search": topk.query,
@@ -13,7 +30,9 @@ QUERIES = {
     "op6_sharding": sharding.query,
     "op7_bpe": bpe.query,
     "op8_mixing": mixing.query,
+    "op9_lm_scoring": hmm.query,
 }
+QUERIES = {name: _shipped(run) for name, run in QUERIES.items()}
 
 ORACLES = {
     "op1_topk_search": topk.ORACLE,
