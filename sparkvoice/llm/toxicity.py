@@ -16,6 +16,7 @@ one; an empty table gives an empty table; other columns are ignored by ``score``
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, id_crc, table
 
 #: Examples of each class, terms, term length in bytes and postings: what is broadcast is bounded by these.
-EXAMPLES, TERMS, TERM_BYTES, POSTINGS = 8192, 2048, 64, 1_000_000
+EXAMPLES, TERMS, TERM_BYTES, POSTINGS = 4096, 2048, 64, 1_000_000
+#: Lengths of word beginnings in bytes, repetitions that make a term of their own, words a worker remembers.
+STEMS, LEVELS, MEMO = (4, 5, 6, 7, 8), (2, 4), 300_000
 NEIGHBOURS, BLOCK = 16, 64
 FOLDS = 5
 SEED = 5
@@ -110,18 +113,69 @@ def isotonic(votes: list[float], labels: list[int], weights: list[float], prior:
     return [(x / w, (y + prior) / (w + 1)) for y, w, x in pools]
 
 
-def _counts(text: str | None, number: dict[bytes, int]) -> tuple[tuple[int, ...], tuple[int, ...]]:
-    """Terms of the space in a whole text, and how often each stands there."""
-    found = terms_of(text)
-    shared = number.keys() & set(found)
-    if not shared:
-        return (), ()
-    pairs = sorted((number[t], found.count(t)) for t in shared)
-    return tuple(p[0] for p in pairs), tuple(p[1] for p in pairs)
+def _levels(counts: dict[bytes, int]):
+    """Features and their counts: every word or stem, and again for those that stand there twice or four times."""
+    for t, n in counts.items():
+        yield t, n
+        for level in LEVELS:
+            if n >= level:
+                yield t + b"#%d" % level, 1
+
+
+def _stems(word: bytes):
+    """Beginnings of a word, marked as such."""
+    for n in STEMS:
+        if len(word) > n + 1:
+            yield word[:n] + b"*"
+
+
+def all_features(tokens: list[bytes]) -> set[bytes]:
+    counts: dict[bytes, int] = {}
+    for w in tokens:
+        if len(w) <= TERM_BYTES:
+            counts[w] = counts.get(w, 0) + 1
+    for w, n in [*counts.items()]:
+        for t in _stems(w):
+            counts[t] = counts.get(t, 0) + n
+    return {t for t, _ in _levels(counts)}
+
+
+def copy_key(tokens: list[bytes]) -> bytes:
+    """Equal for most near copies, rarely for other texts: three minima over the words."""
+    own = set(tokens)
+    return b"".join(min((zlib.crc32(w, seed) for w in own), default=0).to_bytes(4, "big") for seed in (1, 2, 3))
+
+
+class Space:
+    """The chosen terms. Counts them in whole texts."""
+
+    def __init__(self, terms: list[bytes]):
+        self.number = {t: i for i, t in enumerate(terms)}
+        self.bases = {t.partition(b"#")[0] for t in terms}
+        self.memo: dict[bytes, tuple[bytes, ...]] = {}
+
+    def __len__(self):
+        return len(self.number)
+
+    def counts(self, text: str | None) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        found, memo = terms_of(text), self.memo
+        counts: dict[bytes, int] = {}
+        for w in set(found):
+            hit = memo.get(w)
+            if hit is None:
+                if len(memo) > MEMO:
+                    memo.clear()
+                hit = memo[w] = tuple(t for t in (w, *_stems(w)) if t in self.bases) if len(w) <= TERM_BYTES else ()
+            if hit:
+                n = found.count(w)
+                for t in hit:
+                    counts[t] = counts.get(t, 0) + n
+        pairs = sorted((self.number[t], n) for t, n in _levels(counts) if t in self.number)
+        return tuple(p[0] for p in pairs), tuple(p[1] for p in pairs)
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", learns=None, folds: int = FOLDS):
-    """The vocabulary and the index, of bounded size. ``learns``: which ids may be learnt from."""
+    """The term space and the index, of bounded size. ``learns``: which ids may be learnt from."""
     scratch = Scratch(spark, "toxicity")
     learns = (lambda i: id_crc(i) % folds != 0) if learns is None else learns
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(f"`{label}`").cast("int").alias("toxic"))
@@ -140,16 +194,26 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "te
     def listed(batches):
         for b in batches:
             texts = [terms_of(t) for t in b.column(1).to_pylist()]
-            sets = [sorted({t for t in ts if len(t) <= TERM_BYTES}) for ts in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sets, pa.list_(pa.binary())), b.column(1)], names=["id", "toxic", "terms", "text"])
+            keys = [copy_key(ts) for ts in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys, pa.binary()), b.column(1)], names=["id", "toxic", "key", "text"])
 
-    shown = scratch.table(shown.mapInArrow(listed, "id long, toxic int, terms array<binary>, text string"), "examples")
+    def featured(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                terms = sorted(all_features(terms_of(b.column(2)[i].as_py())))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([terms], pa.list_(pa.binary()))], names=["id", "toxic", "terms"])
+
+    # Of near copies one example stays.
+    shown = scratch.table(shown.mapInArrow(listed, "id long, toxic int, key binary, text string"), "shown")
+    one = shown.groupBy("key", "toxic").agg(F.min("id").alias("id")).select("id")
+    shown = scratch.table(shown.join(F.broadcast(one), "id", "left_semi").select("id", "toxic", "text"), "examples")
     sizes = {r["toxic"]: r["n"] for r in shown.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     rates = [of_class.get(c, 0) / max(1, sizes.get(c, 0)) for c in (0, 1)]
-    number: dict[bytes, int] = {}
+    chosen: list[bytes] = []
     if n0 and n1:
-        tested = shown.select("toxic", F.explode("terms").alias("t")).groupBy("t").agg(F.sum("toxic").alias("b"), F.count(F.lit(1)).alias("df")).filter("df >= 3")
+        terms = shown.mapInArrow(featured, "id long, toxic int, terms array<binary>")
+        tested = terms.select("toxic", F.explode("terms").alias("t")).groupBy("t").agg(F.sum("toxic").alias("b"), F.count(F.lit(1)).alias("df")).filter("df >= 3")
         tested = scratch.table(tested, "tested")
         least = max(12.0, 2 * math.log(max(1, tested.count())))
         cell = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
@@ -161,26 +225,27 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "te
             held += r["df"]
             if held > POSTINGS:
                 break
-            number[bytes(r["t"])] = len(number)
-    share = spark.sparkContext.broadcast(number)
+            chosen.append(bytes(r["t"]))
+    space = Space(chosen)
+    share = spark.sparkContext.broadcast(space)
 
     def frequencies(batches):
         own, df, rows = share.value, np.zeros(len(share.value), dtype=np.int64), 0
         for b in batches:
             for t in b.column(0).to_pylist():
                 rows += 1
-                for i in _counts(t, own)[0]:
+                for i in own.counts(t)[0]:
                     df[i] += 1
         yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(df))], pa.int32()), pa.array([rows, *df.tolist()], pa.int64())], names=["term", "df"])
 
-    totals = {r["term"]: r["df"] for r in slim.select("text").mapInArrow(frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()} if number else {}
+    totals = {r["term"]: r["df"] for r in slim.select("text").mapInArrow(frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()} if chosen else {}
     n = totals.get(-1, 0)
-    idf = np.array([math.log((1 + n) / (1 + totals.get(i, 0))) + 1 for i in range(len(number))])
+    idf = np.array([math.log((1 + n) / (1 + totals.get(i, 0))) + 1 for i in range(len(chosen))])
 
     def vectors(batches):
         own = share.value
         for b in batches:
-            found = [_counts(t, own) for t in b.column(2).to_pylist()]
+            found = [own.counts(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(f[0]) for f in found], pa.list_(pa.int32())), pa.array([list(f[1]) for f in found], pa.list_(pa.int32()))], names=["id", "toxic", "terms", "counts"])
 
     rows = shown.select("id", "toxic", "text").mapInArrow(vectors, "id long, toxic int, terms array<int>, counts array<int>").collect()
@@ -208,14 +273,14 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "te
         votes = spark.range(len(full)).mapInArrow(left_out, "place long, vote double").filter("vote is not null").collect()
         toxic = [int(index.toxic[v["place"]]) for v in votes]
         index.steps = isotonic([v["vote"] for v in votes], toxic, [rates[t] for t in toxic], prior)
-    return number, index
+    return space, index
 
 
 def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, **more) -> DataFrame:
     """The columns in ``keep``, then score, predicted and evidence (up to three examples) of every row."""
     keep = [doc_id] if keep is None else keep
-    number, index = fit(spark, docs, labels, text, doc_id, **more)
-    shared = spark.sparkContext.broadcast((number, index))
+    space, index = fit(spark, docs, labels, text, doc_id, **more)
+    shared = spark.sparkContext.broadcast((space, index))
     evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches):
@@ -224,7 +289,7 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "
         for b in batches:
             scores, shown = [], []
             for t in b.column(b.num_columns - 1).to_pylist():
-                key = _counts(t, own)
+                key = own.counts(t)
                 got = seen.get(key)
                 if got is None:
                     got = (ix.empty, [])
