@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..cluster import ship
-from . import bpe, hmm, html, mixing, quality, sharding, topk, toxicity, urls
+from . import bpe, hmm, html, mixing, neardup, quality, sharding, topk, toxicity, urls
 
 
 
@@ -31,10 +31,12 @@ QUERIES = {
     "op7_bpe": bpe.query,
     "op8_mixing": mixing.query,
     "op9_lm_scoring": hmm.query,
+    "op10_minhash_dedup": neardup.query,
 }
 QUERIES = {name: _shipped(run) for name, run in QUERIES.items()}
 
 ORACLES = {
     "op1_topk_search": topk.ORACLE,
     "op4_quality_rules": quality.ORACLE,
+    "op10_minhash_dedup": neardup.ORACLE,
 }
