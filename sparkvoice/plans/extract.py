@@ -267,7 +267,10 @@ def autocorrelation_pitch(wav: np.ndarray, rate: int, fmin: float, fmax: float,
             out.append(np.nan)
             continue
         norm = ac[: hi + 1] / ac[0] * size / (size - np.arange(hi + 1))
-        k = lo + int(norm[lo : hi + 1].argmax())
+        # The first peak nearly as high as the highest, so a multiple of the period does not win.
+        inner = norm[lo : hi + 1]
+        peaks = np.flatnonzero((inner[1:-1] >= inner[:-2]) & (inner[1:-1] >= inner[2:]) & (inner[1:-1] >= 0.9 * inner.max())) + 1
+        k = lo + int(peaks[0] if len(peaks) else inner.argmax())
         if norm[k] < least:
             out.append(np.nan)
             continue
