@@ -106,8 +106,8 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, **more) -> DataFrame:
     sized = scratch.table(sized, "sizes")
     _, pieces = mix(spark, sized, **more)
     rounds = pieces.withColumn("round", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    cuts = rounds.groupBy("row", "round").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("__cuts"))
-    out = whole.join(cuts, whole["__row"] == cuts["row"]).drop("row", "round")
+    cuts = rounds.groupBy(F.col("row").alias("__row"), F.col("round").alias("__round")).agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("__cuts"))
+    out = whole.join(cuts, "__row")
     w = words(F.col("text"))
     covered = F.aggregate("__cuts", F.lit(0).cast("long"), lambda a, c: a + c["hi"] - c["lo"])
     cut = F.concat_ws(" ", F.transform("__cuts", lambda c: F.concat_ws(" ", F.slice(F.col("__words"), (c["lo"] + 1).cast("int"), (c["hi"] - c["lo"]).cast("int")))))
