@@ -6,7 +6,7 @@ probability (c + 1) / (C + V + 1), the last unit standing for all unseen words.
 the symbols of every training document: each task runs scaled forward-backward over its documents, and the expected
 counts are summed across tasks. The scaled forward recursion then gives the exact likelihood of every text.
 
-The ``KEPT`` most frequent words are broadcast with their counts, a bound that does not grow with the corpus. All other
+The most frequent words, ``KEPT`` at most, are broadcast with their counts, a bound that does not grow with the corpus. All other
 words meet their counts in a shuffle join.
 
 Defined cases: null and empty texts are the end alone; without training documents N = V = 0 and the model is uniform;
@@ -194,7 +194,15 @@ def score(spark: SparkSession, docs: DataFrame, held_out, text: str = "text", do
     ends = slim.filter("not held_out").count()
     n_words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = n_words["n"] + ends, n_words["v"] + (ends > 0)
-    best = counts.filter(F.octet_length("word") <= KEPT_BYTES).orderBy(F.col("c").desc(), "word").limit(KEPT).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+    # Words are kept from the least count on that leaves KEPT at most, found in a histogram of 64,000 steps at most.
+    short = counts.filter(F.octet_length("word") <= KEPT_BYTES).withColumn("step", F.floor(F.log2("c") * 1000))
+    held, least = 0, 0
+    for r in short.groupBy("step").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("step").desc()).collect():
+        held += r["n"]
+        if held > KEPT:
+            least = r["step"] + 1
+            break
+    best = short.filter(F.col("step") >= least).select("word", "c").toArrow().sort_by([("c", "descending"), ("word", "ascending")])
     kept, kept_c = best["word"].to_pylist(), np.array(best["c"].to_pylist(), dtype=np.float64)
     own = min(OWN, len(kept))
     size_class = F.least(F.octet_length("word"), F.lit(LENGTHS))
