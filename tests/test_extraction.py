@@ -174,3 +174,18 @@ def test_frame_sets(spark):
     rows = [("u", i, d, float(i), i % 2 == 0) for i in range(6) for d in ("loud", "F1_sma3nz")]
     got = {(r["descriptor"], r["frame_set"]): (r["mean"], r["n"]) for r in frames.frame_set_stats(spark.createDataFrame(rows, "utt_id string, frame int, descriptor string, value double, voiced boolean")).collect()}
     assert got == {("loud", "all"): (2.5, 6), ("loud", "voiced"): (2.0, 3), ("loud", "unvoiced"): (3.0, 3), ("F1_sma3nz", "voiced"): (2.0, 3)}
+
+
+def test_run_from_configuration(spark, corpus, tmp_path):
+    from sparkvoice.run import last_run, run_config, runs
+
+    _, d = corpus
+    config = {"data": {"manifest": f"file://{d}/manifest.csv", "dataset_root": str(d), "carry_columns": ["subject_id"], "limit": 2}, "runner": {"resume": True}, "metrics": [{"type": "level"}, {"type": "speaker_ecapa", "dim": 2}]}
+    out, seen = f"file://{tmp_path}/out", {"speaker_ecapa": lambda ws, r: [[3.0, 4.0]] * len(ws)}
+    first = run_config(spark, config, out, seen)
+    assert first.count() == 2 and "level.rms_dbfs" in first.columns and "subject_id" in first.columns
+    config["data"].pop("limit")
+    assert run_config(spark, config, out, seen).filter("`level.rms_dbfs` is not null and `speaker_ecapa.status` is not null").count() == 3
+    assert runs(spark, out) == [1, 2] and last_run(spark, out)[1].count() == 3
+    with pytest.raises(ValueError):
+        run_config(spark, {"data": {}}, out)
