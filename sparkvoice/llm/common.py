@@ -50,16 +50,25 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.marked = False
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write df once and read it back."""
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        if not self.marked:
+            # Results may be read until the application ends; then the folder goes.
+            root = self._path(self.root)
+            root.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(root)
+            self.marked = True
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _path(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
     def drop(self, name: str) -> None:
         """Remove a table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path = self._path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
