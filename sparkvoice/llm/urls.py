@@ -59,14 +59,15 @@ def window_weights(windows: DataFrame) -> DataFrame:
 
     Gives w and delta, the log10 ratio of the models' probabilities of the last character after the others."""
     totals = windows.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.coalesce(F.sum("r"), F.lit(0)).alias("r")).first()
-    out = windows.select("w", F.split("w", "").alias("c"), "a", "r")
+    base = windows.select("w", F.array_remove(F.split("w", ""), "").alias("c"), "a", "r")
+    out = base
     gram = lambda k, n: F.concat_ws("", F.slice("c", ORDER + 1 - k, n))
     p = {"a": F.lit(1 / ALPHABET), "r": F.lit(1 / ALPHABET)}
     for k in range(ORDER + 1):
-        whole = out.select(gram(k, k + 1).alias(f"g{k}"), "a", "r").groupBy(f"g{k}").agg(F.sum("a").alias(f"ga{k}"), F.sum("r").alias(f"gr{k}"))
+        whole = base.select(gram(k, k + 1).alias(f"g{k}"), "a", "r").groupBy(f"g{k}").agg(F.sum("a").alias(f"ga{k}"), F.sum("r").alias(f"gr{k}"))
         out = out.withColumn(f"g{k}", gram(k, k + 1)).join(whole, f"g{k}")
         if k:
-            past = out.select(gram(k, k).alias(f"x{k}"), "a", "r").groupBy(f"x{k}").agg(F.sum("a").alias(f"xa{k}"), F.sum("r").alias(f"xr{k}"))
+            past = base.select(gram(k, k).alias(f"x{k}"), "a", "r").groupBy(f"x{k}").agg(F.sum("a").alias(f"xa{k}"), F.sum("r").alias(f"xr{k}"))
             out = out.withColumn(f"x{k}", gram(k, k)).join(past, f"x{k}")
         for m in "ar":
             seen = F.col(f"x{m}{k}") if k else F.lit(totals[m])
