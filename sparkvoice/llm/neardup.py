@@ -4,12 +4,15 @@ A text's signature is ``CHUNKS * WIDTH`` MinHash symbols of 32 bits; its distanc
 at which they differ. Signatures are split into chunks. Two signatures that differ at fewer than 2 * CHUNKS places
 have, by pigeonhole, a chunk with at most one difference, so enumerating for each chunk the place of the error gives
 ``CHUNKS * WIDTH`` keys, and every pair under that threshold shares a key. For texts of similarity 0.8 the chance of
-2 * CHUNKS differences or more is about 1e-5 and that of sharing no key at all about 1e-9.
+sharing no key is about 1e-9. Pairs that share a key are held against a longer signature of ``FILTER`` symbols of
+8 bits and go on if it differs at ``FAR`` places at most, which texts of similarity 0.8 exceed about once in 1e7.
 
 Texts with equal sets are one node from the start. A bucket of nodes with the same key gives edges to its smallest
-node, not all pairs; an edge counts once exact set similarity confirms it. Where a bucket still holds several
-components after that, its nodes outside the largest one are held against the others, so no confirmed link between
-components is lost. Components come from rounds of smallest labels with pointer jumping, all as tables.
+node, not all pairs; the components of these edges are families, and nodes that may be linked lie in one family. A
+family's nodes are dealt, with their whole sets, into cells of bounded size so that every two of them meet in a cell.
+A cell holds nodes against each other by the longer signature and, where they are not connected yet, by exact set
+similarity, and gives the links that connect its nodes, not all of them. Components come from rounds of smallest labels
+with pointer jumping, all as tables.
 
 Defined cases: words are lower-cased in A-Z and compared as bytes; a text with fewer words than a shingle is one
 shingle as a whole; null and empty texts are empty sets and linked with nothing; repeated rows are equal sets; null ids
@@ -22,18 +25,21 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
 CHUNKS, WIDTH = 12, 4
 SYMBOLS = CHUNKS * WIDTH
+FILTER, FAR = 128, 49
+#: Nodes of a block and the numbers in their sets; two blocks at most meet in a cell.
+BLOCK_NODES, BLOCK_NUMBERS = 4096, 6_000_000
 MEMO = 400_000
 #: Odd multipliers, fixed by a seed.
 _RNG = np.random.default_rng(20240229)
-MULTIPLIERS = _RNG.integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-ADDENDS = _RNG.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
+MULTIPLIERS = _RNG.integers(0, 2**63, FILTER, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+ADDENDS = _RNG.integers(0, 2**63, FILTER, dtype=np.uint64)
 STEP, LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -69,9 +75,10 @@ def shingles(raw: bytes | None, width: int, memo: dict) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    best = np.full(SYMBOLS, np.uint64(2**64 - 1))
-    for lo in range(0, len(s), 2048):
-        best = np.minimum(best, (MULTIPLIERS[:, None] * s[None, lo : lo + 2048] + ADDENDS[:, None]).min(axis=1))
+    """FILTER symbols; the first SYMBOLS of them make keys."""
+    best = np.full(FILTER, np.uint64(2**64 - 1))
+    for lo in range(0, len(s), 512):
+        best = np.minimum(best, (MULTIPLIERS[:, None] * s[None, lo : lo + 512] + ADDENDS[:, None]).min(axis=1))
     return (best >> np.uint64(32)).astype(np.uint32)
 
 
@@ -93,14 +100,21 @@ def _measured(width: int, with_set: bool):
     def run(batches):
         memo = _Words()
         for b in batches:
-            cols: list[list] = [[], [], [], []]
+            cols: list[list] = [[], [], [], [], []]
             for raw in b.column(b.num_columns - 1).to_pylist():
                 s = shingles(raw, width, memo)
                 cols[0].append(len(s))
                 cols[1].append(int(mix(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 cols[2].append(int(mix(s, STEP).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-                cols[3].append(s.tobytes() if with_set else signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.binary())], names=[*b.schema.names[:-1], "n", "f1", "f2", "set" if with_set else "sig"])
+                if with_set:
+                    cols[3].append(s.tobytes())
+                else:
+                    sig = signature(s) if len(s) else None
+                    cols[3].append(sig[:SYMBOLS].tobytes() if len(s) else None)
+                    cols[4].append(sig.astype(np.uint8).tobytes() if len(s) else None)
+            names = ["n", "f1", "f2", "set"] if with_set else ["n", "f1", "f2", "sig", "low8"]
+            kinds = [pa.int64()] * 3 + [pa.binary()] * 2
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(c, k) for c, k in zip(cols[: len(names)], kinds, strict=False)]], names=[*b.schema.names[:-1], *names])
 
     return run
 
@@ -113,25 +127,74 @@ def _keys(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), SYMBOLS)), pa.array(k.ravel())], names=["gid", "key"])
 
 
-def _close(batches):
-    """Pairs whose signatures differ at fewer than 2 * CHUNKS places."""
-    for b in batches:
-        if b.num_rows:
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), dtype=np.uint32).reshape(-1, SYMBOLS) for k in (2, 3))
-            keep = pa.array((x != y).sum(axis=1) < 2 * CHUNKS)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
-
+def _low(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, FILTER)
+
+
+def _linked(x: np.ndarray, y: np.ndarray, limit: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= limit * (len(x) + len(y) - both)
+
+
+def cell_links(gid: np.ndarray, n: np.ndarray, side: np.ndarray, low: np.ndarray, sets: list[np.ndarray], limit: int) -> list[tuple[int, int]]:
+    """Links that connect all linked nodes of a cell. With two blocks only pairs across them are looked at here."""
+    root = np.arange(len(gid))
+    two = len(np.unique(side)) > 1
+    hub = -1
+    out = []
+
+    def link(i: int, j: int) -> None:
+        out.append((int(min(gid[j], gid[i])), int(max(gid[j], gid[i]))))
+        root[root == root[i]] = root[j]
+
+    for i in range(1, len(gid)):
+        fit = np.flatnonzero((100 * np.minimum(n[:i], n[i]) >= limit * np.maximum(n[:i], n[i])) & ((side[:i] != side[i]) | (not two)))
+        # The node that others were linked to last is asked first, which spares most of a large component a look.
+        at = np.searchsorted(fit, hub)
+        if at < len(fit) and fit[at] == hub and (low[hub] != low[i]).sum() <= FAR and _linked(sets[hub], sets[i], limit):
+            link(i, hub)
+        while len(fit):
+            # The closest by signature first: once connected, the rest of a component needs no look.
+            fit = fit[root[fit] != root[i]]
+            far = (low[fit] != low[i]).sum(axis=1)
+            fit, far = fit[far <= FAR], far[far <= FAR]
+            hit = next((j for j in fit[np.argsort(far, kind="stable")] if _linked(sets[j], sets[i], limit)), None)
+            if hit is None:
+                break
+            link(i, hit)
+            hub = int(hit)
+    return out
+
+
+def _cells(limit: int):
+    """Rows (family, cell, side, gid, n, low8, set), those of a cell together -> links (a, b)."""
+
+    def links(held: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(held)
+        gid, n, side = (t[c].to_numpy() for c in ("gid", "n", "side"))
+        sets = [np.frombuffer(v.as_py(), dtype=np.uint64) for v in t["set"]]
+        found = cell_links(gid, n, side, _low(t["low8"]), sets, limit)
+        if found:
+            a, b = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-def _confirm(limit: int):
     def run(batches):
+        held, at = [], None
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= limit * (len(x) + len(y) - both))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+            keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            start = 0
+            while start < len(keys):
+                stop = start
+                while stop < len(keys) and keys[stop] == keys[start]:
+                    stop += 1
+                if keys[start] != at and held:
+                    yield from links(held)
+                    held = []
+                at = keys[start]
+                held.append(b.slice(start, stop - start))
+                start = stop
+        if held:
+            yield from links(held)
 
     return run
 
@@ -159,65 +222,30 @@ def groups_of(spark: SparkSession, docs: DataFrame, width: int, limit: int, text
     """Rows (row, doc_id, n, f1, f2) and sets of equal rows (f1, f2, n, gid, low, component_id)."""
     scratch = Scratch(spark, "neardup")
     slim = docs.select((F.monotonically_increasing_id() if row is None else row).alias("row"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("raw"))
-    rows = scratch.table(slim.mapInArrow(_measured(width, False), "row long, doc_id long, n long, f1 long, f2 long, sig binary"), "rows")
-    groups = rows.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("row").alias("gid"), F.min("doc_id").alias("low"), F.first("sig").alias("sig"))
+    rows = scratch.table(slim.mapInArrow(_measured(width, False), "row long, doc_id long, n long, f1 long, f2 long, sig binary, low8 binary"), "rows")
+    groups = rows.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("row").alias("gid"), F.min("doc_id").alias("low"), F.first("sig").alias("sig"), F.first("low8").alias("low8"))
     groups = scratch.table(groups, "groups")
-    sigs = groups.select("gid", "sig", "n")
     keyed = groups.select("gid", "sig").mapInArrow(_keys, "gid long, key long")
-    buckets = keyed.groupBy("key").agg(F.min("gid").alias("a"), F.max("gid").alias("b"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    buckets = scratch.table(buckets, "buckets")
-    members = scratch.table(keyed.join(buckets.filter("k > 2").select("key", "a"), "key"), "members")
-    pairs = buckets.filter("k = 2").select("a", "b").unionByName(members.filter("gid <> a").select("a", F.col("gid").alias("b"))).distinct()
-
-    def near(pairs: DataFrame, name: str) -> DataFrame:
-        """Pairs whose sizes and signatures allow a link."""
-        x, y = (sigs.select(F.col("gid").alias(c), F.col("sig").alias(f"s{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
-        met = pairs.join(x, "a").join(y, "b").filter((100 * F.least("na", "nb") >= limit * F.greatest("na", "nb")))
-        return scratch.table(met.select("a", "b", "sa", "sb").mapInArrow(_close, "a long, b long"), name)
-
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        """Pairs whose whole sets are similar enough. Only texts of these pairs are read again."""
-        nodes = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("gid")).distinct().join(groups.select("gid", "low", "f1", "f2", "n"), "gid"), f"{name}-nodes")
-        wanted = nodes.select(F.col("low").alias("__low"), F.lit(True).alias("__hit")).distinct()
-        again = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("binary").alias("raw"))
-        again = again.join(wanted, again["id"].eqNullSafe(wanted["__low"]), "left_semi").select("id", "raw")
-        sets = again.mapInArrow(_measured(width, True), "id long, n long, f1 long, f2 long, set binary")
-        sets = sets.join(nodes.select("gid", "low", "f1", "f2", "n"), ["f1", "f2", "n"]).filter(F.col("id").eqNullSafe(F.col("low")))
-        sets = scratch.table(sets.groupBy("gid").agg(F.first("set").alias("set")), f"{name}-sets")
-        x, y = (sets.select(F.col("gid").alias(c), F.col("set").alias(f"s{c}")) for c in "ab")
-        met = pairs.join(y, "b").join(x, "a").select("a", "b", "sa", "sb")
-        out = scratch.table(met.mapInArrow(_confirm(limit), "a long, b long"), name)
-        scratch.drop(f"{name}-sets")
-        return out
-
-    pending = near(pairs, "near")
-    # First each node's smallest partner, then whatever still joins two components.
-    first = pending.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = confirmed(first, "links-1")
-    labels = components(scratch, links, "labels-1")
-
-    def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        la, lb = (labels.select(F.col("gid").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
-        met = pairs.join(la, "a", "left").join(lb, "b", "left")
-        return met.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-
-    rest = scratch.table(apart(pending.join(first, ["a", "b"], "left_anti"), labels), "rest-2")
-    if rest.limit(1).count():
-        links = links.unionByName(confirmed(rest, "links-2"))
-        labels = components(scratch, links, "labels-2")
-    # Buckets that hold several components: nodes outside the bucket's largest one against all of the others.
-    named = members.join(labels, "gid", "left").select("key", "gid", F.coalesce("label", "gid").alias("label"))
-    parts = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"))
-    mixed = parts.groupBy("key").agg(F.max(F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("key", F.col("top.label").alias("top"))
-    named = scratch.table(named.join(mixed, "key").join(sigs.select("gid", "n"), "gid"), "mixed")
-    odd = named.filter("label <> top").select("key", F.col("gid").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"))
-    other = named.select("key", F.col("gid").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), "top")
-    fits = (100 * F.least("nx", "ny") >= limit * F.greatest("nx", "ny")) & (F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("top")) | (F.col("x") < F.col("y")))
-    cross = odd.join(other, "key").filter(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    cross = near(cross.join(pending, ["a", "b"], "left_anti"), "near-3")
-    if cross.limit(1).count():
-        links = links.unionByName(confirmed(cross, "links-3"))
-        labels = components(scratch, links, "labels-3")
+    buckets = scratch.table(keyed.groupBy("key").agg(F.min("gid").alias("a"), F.max("gid").alias("b"), F.count(F.lit(1)).alias("k")).filter("k > 1"), "buckets")
+    members = keyed.join(buckets.filter("k > 2").select("key", "a"), "key").filter("gid <> a").select("a", F.col("gid").alias("b"))
+    star = scratch.table(buckets.filter("k = 2").select("a", "b").unionByName(members).distinct(), "star")
+    families = components(scratch, star, "families").withColumnRenamed("label", "family")
+    nodes = families.join(groups.select("gid", "low", "f1", "f2", "n", "low8"), "gid")
+    blocks = nodes.groupBy("family").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("numbers"))
+    blocks = blocks.select("family", F.greatest(F.expr(f"(k - 1) div {BLOCK_NODES} + 1"), F.expr(f"(numbers - 1) div {BLOCK_NUMBERS} + 1")).cast("int").alias("blocks"))
+    nodes = nodes.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int"))
+    nodes = scratch.table(nodes.select("gid", "family", "blocks", "own", F.col("low").alias("__low"), F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("gn"), "low8"), "nodes")
+    # Only texts of nodes in families are read again, each once; rows of other texts under the same id fall out.
+    again = docs.select(F.col(f"`{doc_id}`").cast("long").alias("__id"), F.col(f"`{text}`").cast("binary").alias("raw"))
+    again = again.join(nodes, again["__id"].eqNullSafe(nodes["__low"])).select("gid", "family", "blocks", "own", "g1", "g2", "gn", "low8", "raw")
+    sets = again.mapInArrow(_measured(width, True), "gid long, family long, blocks int, own int, g1 long, g2 long, gn long, low8 binary, n long, f1 long, f2 long, set binary")
+    sets = sets.filter("f1 = g1 and f2 = g2 and n = gn").select("gid", "family", "blocks", "own", "n", "low8", "set")
+    # Cell (x, y) with x <= y holds blocks x and y, so every pair of blocks, and every block by itself, has one.
+    spread = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
+    dealt = spread.select("family", cell.alias("cell"), F.col("own").alias("side"), "gid", "n", "low8", "set").repartition("family", "cell").sortWithinPartitions("family", "cell", "gid")
+    links = scratch.table(dealt.mapInArrow(_cells(limit), "a long, b long"), "links")
+    labels = components(scratch, links, "labels")
     named = groups.join(labels, "gid", "left").select("f1", "f2", "n", "gid", "low", F.coalesce("label", "gid").alias("label"))
     lowest = named.groupBy("label").agg(F.min("low").alias("component_id"))
     return rows.select("row", "doc_id", "n", "f1", "f2"), scratch.table(named.join(lowest, "label"), "named")
@@ -232,12 +260,28 @@ def classes(spark: SparkSession, docs: DataFrame, width: int = 2, limit: int = 8
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, width: int = 5, limit: int = 80) -> DataFrame:
-    """One document of each component (that of the smallest id, then the first row), and all empty ones."""
-    whole = Scratch(spark, "dedup").table(docs.withColumn("__row", F.monotonically_increasing_id()), "docs")
-    found = classes(spark, whole, width, limit, row=F.col("__row"))
-    best = found.filter("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("m")).select(F.col("m.row").alias("__row"))
-    keep = best.unionByName(found.filter("label is null").select(F.col("row").alias("__row")))
-    return whole.join(keep, "__row", "left_semi").select(*docs.columns)
+    """One document of each component (that of the smallest id, then the first row), and all empty ones.
+
+    The texts are not copied: documents are told apart by their ids, and only where an id stands in several rows or is
+    null also by their sets, of which one row each stays."""
+    rows, named = groups_of(spark, docs, width, limit, "text", "doc_id")
+    found = rows.join(named.select("f1", "f2", "n", "label"), ["f1", "f2", "n"], "left")
+    best = found.filter("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "f1", "f2", "n")).alias("m")).select("m.doc_id", "m.f1", "m.f2", "m.n")
+    keep = Scratch(spark, "dedup").table(best.unionByName(found.filter("label is null").select("doc_id", "f1", "f2", "n")), "keep")
+    often = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1 or doc_id is null").select(F.col("doc_id").alias("__id"))
+    often = Scratch(spark, "dedup").table(often, "often")
+    once = keep.join(often, keep["doc_id"].eqNullSafe(often["__id"]), "left_anti").select(F.col("doc_id").alias("__id"))
+    out = docs.join(once, docs["doc_id"] == once["__id"], "left_semi")
+    if often.limit(1).count():
+        packed = docs.join(often, docs["doc_id"].eqNullSafe(often["__id"]), "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col("text").cast("binary").alias("raw"))
+        kind = packed.schema["__doc"].dataType.simpleString()
+        packed = packed.mapInArrow(_measured(width, False), f"__doc {kind}, n long, f1 long, f2 long, sig binary, low8 binary")
+        keys = keep.select(F.col("doc_id").alias("__id"), "f1", "f2", "n").distinct()
+        held = packed.join(keys, ["f1", "f2", "n"]).filter(F.col("__doc.doc_id").eqNullSafe(F.col("__id")))
+        first = Window.partitionBy("__id", "f1", "f2", "n").orderBy(F.col("__doc.text"))
+        held = held.withColumn("__nth", F.row_number().over(first)).filter("n = 0 or __nth = 1")
+        out = out.unionByName(held.select(*[F.col(f"__doc.`{c}`").alias(c) for c in docs.columns]))
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
