@@ -70,11 +70,14 @@ v_unit AS (SELECT * EXCLUDE (v), v, list_transform(v, lambda x: x / sqrt(list_do
 
 
 def v_text(spark, d):
+    # Whole texts; the converted hypothesis says the last word twice.
     c = _t(spark, d, "conversations")
+    said = F.regexp_replace("text", r"[^\x20-\x7e]+", " ")
+    heard = F.when(F.col("turn") % 2 == 0, said).otherwise(F.concat_ws(" ", said, F.substring_index(F.rtrim(said), " ", -1)))
     return c.select(
         F.concat_ws("_", "conv_id", "turn").alias("utt_id"), F.concat_ws("_", "conv_id", F.expr("turn div 2")).alias("group_id"),
-        F.when(F.col("turn") % 2 == 0, "real").otherwise("converted").alias("condition"), F.col("role").alias("subject_id"), F.substring_index(F.regexp_replace("text", r"[^\x20-\x7e]+", " "), " ", 40).alias("asr.hypothesis"),
-        F.when(F.col("conv_id") % 9 == 0, "too_long").otherwise("ok").alias("asr.status"), F.substring_index(F.regexp_replace("text", r"[^\x20-\x7e]+", " "), " ", 38).alias("text"),
+        F.when(F.col("turn") % 2 == 0, "real").otherwise("converted").alias("condition"), F.col("role").alias("subject_id"), heard.alias("asr.hypothesis"),
+        F.when(F.col("conv_id") % 9 == 0, "too_long").otherwise("ok").alias("asr.status"), said.alias("text"),
     )
 
 
