@@ -1,16 +1,18 @@
 """Mixing sources to target weights.
 
-A source's documents, in a seeded order, are one line of words, cut into blocks of equally many words. Sainte-Lague
-apportionment gives blocks to sources by highest quotients target / (2s + 1); the order in which seats are won cuts
-them into shards, so every shard has an integer quota of each source. A seeded order of a source's blocks fills the
-quotas, going round once more where a source is to be repeated. A document's share is what its blocks cover.
+A source's documents, in a seeded order, are one line of words, cut into blocks of equally many words. A seeded order
+of a source's blocks is walked, once more where the source is to be repeated, until its target, rounded to words, is
+taken: the last block is cut. That is Sainte-Lague apportionment at one word a seat, so a source of any size meets its
+target to half a word. A document's share is what is taken of its words. ``apportion`` gives seats of whole blocks by
+highest quotients target / (2s + 1); the order in which they are won cuts them into shards, so every shard has an
+integer quota of each source.
 
 Sources in code point order, null last, weigh 3, 1, 2, repeating. Targets share 1.5 times all words by weight, none
 above twice its source; what is above is shared again by weight.
 
 Defined cases: null or empty texts have size 0 and take 0; repeated rows count one by one; an empty table gives an
 empty table; other columns are kept by ``mixed_documents`` and ignored by ``mix``. The number of blocks is bounded by
-``blocks``, whatever the input's size, plus one for each source.
+``blocks``, whatever the input's size, plus one for each source; it bounds no source's error.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, table, words
 
 SEED = 77
-#: Blocks into which all words are cut; a source's taken words are off its target by about a block.
+#: Blocks into which all words are cut.
 BLOCKS = 131_072
 LANE_ROWS = 500_000
 
@@ -58,13 +60,27 @@ def apportion(targets: DataFrame, words_per_block: int, seats: int, shards: int,
     return won.join(block.withColumn("pos", (F.row_number().over(order) - 1).cast("long")), ["sid", "pos"]).select("sid", "block", "shard")
 
 
-def _plan(spark: SparkSession, sized: DataFrame, scratch: Scratch, blocks: int, shards: int, seed: int):
-    """sized (row, doc_id, source, size) -> its lines (with sid, start), targets, seats and words per block."""
+def spans(targets: DataFrame, words_per_block: int, seed: int) -> DataFrame:
+    """sid, block, first, last, times: words first to last - 1 of a source's line, inside one block, are taken so many
+    times. They add up to the source's rounded target."""
+    b = words_per_block
+    block = targets.filter("source_size > 0").select("sid", "source_size", F.round("target").cast("long").alias("aim"), F.explode(F.expr(f"sequence(0L, (source_size - 1) div {b})")).alias("block"))
+    block = block.withColumn("width", F.expr(f"least({b}L, source_size - block * {b})"))
+    before = Window.partitionBy("sid").orderBy(F.xxhash64(F.lit(seed), "sid", "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
+    rest = F.expr("aim % source_size") - F.coalesce(F.sum("width").over(before), F.lit(0))
+    block = block.withColumn("more", F.greatest(F.lit(0), F.least(rest, F.col("width")))).withColumn("rounds", F.expr("aim div source_size"))
+    # A block's first words are taken once more than its others where the target ends in it.
+    cut = F.expr(f"""array(struct(block * {b} as first, block * {b} + more as last, rounds + 1 as times),
+        struct(block * {b} + more as first, block * {b} + width as last, rounds as times))""")
+    return block.select("sid", "block", F.explode(cut).alias("c")).select("sid", "block", "c.*").filter("last > first and times > 0")
+
+
+def _plan(spark: SparkSession, sized: DataFrame, scratch: Scratch, blocks: int, seed: int):
+    """sized (row, doc_id, source, size) -> its lines (with sid, start), targets, taken spans and words per block."""
     targets = scratch.table(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
-    total = targets.agg(F.sum("source_size").alias("words"), F.sum("target").alias("pool")).first()
+    total = targets.agg(F.sum("source_size").alias("words")).first()
     b = max(1, (total["words"] or 0) // blocks)
-    seats = round((total["pool"] or 0) / b)
-    won = scratch.table(apportion(targets, b, seats, shards, seed), "seats")
+    won = scratch.table(spans(targets, b, seed), "spans")
     lanes = max(64, sized.count() // LANE_ROWS)
     named = targets.select(F.col("source").alias("__s"), "sid")
     line = sized.join(named, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
@@ -79,18 +95,16 @@ def _plan(spark: SparkSession, sized: DataFrame, scratch: Scratch, blocks: int,
     return line.select("row", "doc_id", "size", "sid", "start"), targets, won, b
 
 
-def mix(spark: SparkSession, sized: DataFrame, blocks: int = BLOCKS, shards: int = 16, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def mix(spark: SparkSession, sized: DataFrame, blocks: int = BLOCKS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """sized: row (unique), doc_id, source, size. Gives the rows with source_size, target, taken, and the pieces
     (row, lo, hi, times): words lo to hi - 1 of the document are taken so many times."""
     scratch = Scratch(spark, "mixing")
-    line, targets, won, b = _plan(spark, sized, scratch, blocks, shards, seed)
+    line, targets, won, b = _plan(spark, sized, scratch, blocks, seed)
     line = scratch.table(line, "starts")
-    times = won.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
     met = line.filter("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {b}, (start + size - 1) div {b})")))
-    pieces = met.join(times, ["sid", "block"]).select(
-        "row", F.greatest(F.expr(f"block * {b} - start"), F.lit(0)).alias("lo"),
-        F.least(F.expr(f"(block + 1) * {b} - start"), F.col("size")).alias("hi"), "times",
-    )
+    pieces = met.join(won, ["sid", "block"]).select(
+        "row", F.greatest(F.expr("first - start"), F.lit(0)).alias("lo"), F.least(F.expr("last - start"), F.col("size")).alias("hi"), "times",
+    ).filter("hi > lo")
     pieces = scratch.table(pieces, "pieces")
     taken = pieces.groupBy("row").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken"))
     out = line.join(taken, "row", "left").join(targets.select("sid", "source_size", "target"), "sid")

@@ -165,3 +165,26 @@ def test_mixed_documents_hold_the_taken_words(spark, docs):
     taken = sum(r["taken"] for r in mixing.mix(spark, sized(spark, docs))[0].collect())
     assert abs(sum(len(WORD.findall(r["text"])) for r in out.collect()) - taken) <= 8
     assert mixing.mixed_documents(spark, docs.limit(0)).count() == 0
+
+
+def test_small_sources_meet_their_targets_in_large_blocks(spark):
+    rng = random.Random(9)
+    rows = [(f"big{k}", 500) for k in range(4) for _ in range(200)] + [("tiny", rng.randint(1, 9)) for _ in range(7)] + [("mid", 40)] * 8 + [("one", 1), ("zero", 0), (None, 130)]
+    df = spark.createDataFrame([(i, i, s, n) for i, (s, n) in enumerate(rows)], "row long, doc_id long, source string, size long")
+    total = Counter()
+    for s, n in rows:
+        total[s] += n
+    want = targets(total)
+    for blocks in (100, 1000, 131_072):
+        out, pieces = mixing.mix(spark, df, blocks=blocks)
+        taken, of_row = Counter(), {}
+        for r in out.collect():
+            assert 0 <= r["taken"] <= 2 * r["size"]
+            taken[rows[r["row"]][0]] += r["taken"]
+            of_row[r["row"]] = r["taken"]
+        assert all(abs(taken[s] - t) <= 0.5 + 1e-6 for s, t in want.items())
+        words = Counter()
+        for r in pieces.collect():
+            assert 0 <= r["lo"] < r["hi"] <= rows[r["row"]][1]
+            words[r["row"]] += (r["hi"] - r["lo"]) * r["times"]
+        assert all(words[i] == n for i, n in of_row.items())
