@@ -183,9 +183,10 @@ _add("paired_similarity", lambda s, d: _paired(s, d).withColumn("cosine", _r(F.c
 _add("similarity_by_condition", lambda s, d: _paired(s, d).groupBy("condition").agg(_r(F.avg("cosine")).alias("mean_cosine"), F.count(F.lit(1)).alias("n")), S_PAIRED + " SELECT condition, round(avg(cosine), 6) AS mean_cosine, count(*) AS n FROM ps GROUP BY condition")
 
 
-def _trials(s, d, cap=None, conditions=("0", "1")):
+def _trials(s, d, cap=None):
+    # All embeddings, whatever their condition and status.
     rows, art = v_speaker(s, d)
-    return speaker.verification_trials(rows, art, COLUMN, conditions=conditions, max_target=cap, max_nontarget=cap)
+    return speaker.verification_trials(rows, art, COLUMN, status_col=None, max_target=cap, max_nontarget=cap)
 
 
 S_TRIALS = f"""WITH {S_SPEAKER}, tr AS (SELECT a.utt_id AS utt_a, b.utt_id AS utt_b, a.subject_id AS speaker_a, b.subject_id AS speaker_b, a.subject_id = b.subject_id AS label, round(list_dot_product(a.u, b.u), 9) AS cosine
@@ -219,7 +220,7 @@ su AS (SELECT speaker, list(x ORDER BY pos) AS s FROM co GROUP BY speaker), nm A
 
 def _enrol(s, d):
     rows, art = v_speaker(s, d)
-    return speaker.speaker_centroids(rows, art, COLUMN, conditions=["0", "1", "2"])
+    return speaker.speaker_centroids(rows, art, COLUMN, status_col=None)
 
 
 _add("speaker_centroids", lambda s, d: _enrol(s, d)[0].select("speaker", "n", F.posexplode("centroid").alias("pos", "x")).select("speaker", "n", F.col("pos").cast("long").alias("pos"), _r(F.col("x")).alias("x")),
@@ -228,7 +229,7 @@ _add("speaker_centroids", lambda s, d: _enrol(s, d)[0].select("speaker", "n", F.
 
 def _scored(s, d):
     rows, art = v_speaker(s, d)
-    return speaker.similarity_to_centroid(rows, art, COLUMN, _enrol(s, d)).select("utt_id", "subject_id", "n_enrolment", _r(F.col("cosine")).alias("cosine"))
+    return speaker.similarity_to_centroid(rows, art, COLUMN, _enrol(s, d), status_col=None).select("utt_id", "subject_id", "n_enrolment", _r(F.col("cosine")).alias("cosine"))
 
 
 _add("similarity_to_centroid", _scored, S_ENROL + """, sc AS (SELECT a.utt_id, a.subject_id, a.u, n - (CASE WHEN a.condition IN ('0', '1', '2') THEN 1 ELSE 0 END) AS k,
@@ -333,4 +334,4 @@ _add("run_metrics", _run_metrics, f"WITH {S_WAVE}, {S_LEVEL} SELECT w.utt_id, 'r
 # Random draws have no SQL; tests hold them against their definitions.
 _add("cluster_bootstrap", lambda s, d: contrasts.cluster_bootstrap_ci(v_scalar(s, d), "value", "group_id", by=["condition"], n_boot=1000))
 _add("summarise", lambda s, d: displacement.summarise(displacement.per_group_slopes(_disp(s, d), "subject_id"), _disp(s, d), "subject_id", n_boot=1000))
-_add("trial_sampling", lambda s, d: _trials(s, d, cap=500, conditions=None))
+_add("trial_sampling", lambda s, d: _trials(s, d, cap=500))

@@ -1,9 +1,11 @@
 """Registered queries do their whole job: brute force over small tables."""
 
+import itertools
 import random
 import re
 import string
 
+import numpy as np
 import pytest
 
 from sparkvoice.queries import QUERIES
@@ -63,3 +65,52 @@ def test_word_errors_are_of_whole_texts(spark, talks):
     for k, name in enumerate(("real", "converted")):
         own = [u for u in pseudo if int(u[-1]) % 2 == k]
         assert pooled[name] == (sum(errors[u] for u in own), sum(len(pseudo[u][0].split()) for u in own))
+
+
+@pytest.fixture(scope="module")
+def voices(spark, tmp_path_factory):
+    rng = np.random.default_rng(10)
+    axes = rng.normal(size=(4, 8))
+    rows = [(i, [float(x) for x in (axes[i % 4] + 0.9 * rng.normal(size=8)).astype(np.float32)], i % 4) for i in range(48)]
+    d = tmp_path_factory.mktemp("voices")
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"file://{d}/embeddings.parquet")
+    units = {i: np.array(v) / np.linalg.norm(v) for i, v, _ in rows}
+    pairs = {}
+    for i, j in itertools.combinations(range(48), 2):
+        if i % 4 != j % 4 or i // 5 != j // 5:
+            a, b = sorted((str(i), str(j)))
+            pairs[a, b] = (i % 4 == j % 4, float(units[i] @ units[j]))
+    return f"file://{d}", units, pairs
+
+
+def test_trials_are_of_all_embeddings(spark, voices):
+    d, units, pairs = voices
+    got = {(r["utt_a"], r["utt_b"]): (r["label"], r["cosine"]) for r in QUERIES["verification_trials"](spark, d).collect()}
+    assert set(got) == set(pairs)
+    for k, (label, cosine) in pairs.items():
+        assert got[k][0] == label and abs(got[k][1] - cosine) < 2e-6
+    t, f = (np.array([c for y, c in pairs.values() if y == label]) for label in (True, False))
+    gap, eer = min((abs((f >= s).mean() - (t < s).mean()), ((f >= s).mean() + (t < s).mean()) / 2) for s in sorted([*t, *f]))
+    r = QUERIES["eer"](spark, d).first()
+    assert (r["n_target"], r["n_nontarget"]) == (len(t), len(f)) and abs(abs(r["far"] - r["frr"]) - gap) < 3e-6
+    c = QUERIES["calibrate"](spark, d).first()
+    want = (t.mean(), t.std(), f.mean(), f.std(), (t.mean() - f.mean()) / np.sqrt((t.var() + f.var()) / 2))
+    np.testing.assert_allclose([c[x] for x in ("mu_target", "sd_target", "mu_nontarget", "sd_nontarget", "d_prime")], want, atol=3e-6)
+    assert c["n_speakers"] == 4 and abs(c["eer"] - eer) < 3e-6
+    similar = QUERIES["calibrated_similarity"](spark, d).collect()
+    assert similar
+    for r in similar:
+        i = int(r["utt_id"])
+        assert abs(r["similarity"] - (units[i] @ units[i - i % 5] - f.mean()) / (t.mean() - f.mean())) < 2e-5
+
+
+def test_enrolment_is_of_all_embeddings(spark, voices):
+    d, units, _ = voices
+    sums = {k: sum(u for i, u in units.items() if i % 4 == k) for k in range(4)}
+    got = {(r["speaker"], r["pos"]): (r["n"], r["x"]) for r in QUERIES["speaker_centroids"](spark, d).collect()}
+    assert len(got) == 32 and all(n == 12 and abs(x - sums[k][p] / np.linalg.norm(sums[k])) < 2e-6 for (k, p), (n, x) in got.items())
+    scored = {int(r["utt_id"]): (r["n_enrolment"], r["cosine"]) for r in QUERIES["similarity_to_centroid"](spark, d).collect()}
+    assert set(scored) == set(units)
+    for i, (n, c) in scored.items():
+        rest = sums[i % 4] - units[i]
+        assert n == 11 and abs(c - units[i] @ rest / np.linalg.norm(rest)) < 2e-6
