@@ -1,13 +1,13 @@
-"""Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity from the nearest labelled examples, by exact TF-IDF cosine over an inverted index.
 
 The labelled examples are a sample of at most ``EXAMPLES`` of each class (labelled documents in hash order, whole
-texts). Terms that tell the classes apart by a log-likelihood ratio are the vector space; their document frequencies
-are counted over all documents. Examples lie in an order that puts like vectors side by side, in blocks; for each term
-a block has the largest weight, so a query has an upper bound of the cosine for every block. Blocks are evaluated by
-falling bound until the next bound is below the k-th best cosine, which is exact. Votes weigh by cosine distance and
-by how thinly a class was sampled, and isotonic regression over the examples, each without itself, calibrates them.
+texts). All words of the examples are the vector space, with the word beginnings and repetitions that tell the classes
+apart by a log-likelihood ratio; document frequencies are counted over all documents. The ratio only weighs a word,
+from ``FLOOR`` to 1, so every shared word counts. A query adds up the postings of all its terms, which is exact.
+Votes weigh by cosine distance and by how thinly a class was sampled, and isotonic regression over the examples, each
+without itself, calibrates them.
 
-Defined cases: null or empty texts, and texts without any term of the space, get the rate of toxic examples among such
+Defined cases: null or empty texts, and texts that share no word with any example, get the rate of toxic examples among such
 texts; labels other than 0 and 1, null ids and labels without a document are not learnt from; of several labels for an
 id the largest counts, of several texts the smallest; without labels every score is 0; repeated rows are scored one by
 one; an empty table gives an empty table; other columns are ignored by ``score`` and kept by ``reject``.
@@ -15,8 +15,10 @@ one; an empty table gives an empty table; other columns are ignored by ``score``
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +27,13 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, id_crc, table
 
-#: Examples of each class, terms, term length in bytes and postings: what is broadcast is bounded by these.
-EXAMPLES, TERMS, TERM_BYTES, POSTINGS = 4096, 2048, 64, 1_000_000
+#: Examples of each class, terms that are not words; longer words in bytes go by a digest.
+EXAMPLES, TERMS, TERM_BYTES = 4096, 2048, 64
+#: Weight of a word that tells nothing about the classes.
+FLOOR = 0.05
 #: Lengths of word beginnings in bytes, repetitions that make a term of their own, words a worker remembers.
 STEMS, LEVELS, MEMO = (4, 5, 6, 7, 8), (2, 4), 300_000
-NEIGHBOURS, BLOCK = 16, 64
+NEIGHBOURS = 16
 FOLDS = 5
 SEED = 5
 #: ASCII letters in lower case, other ASCII marks as spaces, all else untouched.
@@ -37,31 +41,28 @@ FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 o
 
 
 def terms_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()
+    return [w if len(w) <= TERM_BYTES else b"~" + hashlib.blake2b(w, digest_size=16).digest() for w in (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()]
 
 
 class Index:
-    """Unit vectors of examples, inverted with block maxima."""
+    """Unit vectors of examples, by example and inverted."""
 
-    def __init__(self, idf: np.ndarray, vectors: list[tuple[list[int], list[int]]], toxic: list[int], ids: list[int], importance: tuple[float, float], empty: float):
-        order = sorted(range(len(vectors)), key=lambda i: (vectors[i][0], vectors[i][1], ids[i]))
+    def __init__(self, idf: np.ndarray, vectors, toxic: list[int], ids: list[int], importance: tuple[float, float], empty: float):
+        order = sorted(range(len(vectors)), key=lambda i: ids[i])
         self.idf, self.empty, self.importance = idf, empty, importance
         self.toxic = np.array([toxic[i] for i in order], dtype=np.int64)
         self.ids = np.array([ids[i] for i in order], dtype=np.int64)
-        self.starts, terms, values = [0], [], []
-        blocks = -(-len(order) // BLOCK)
-        self.most = np.zeros((len(idf), max(blocks, 1)))
-        for place, i in enumerate(order):
-            t = np.array(vectors[i][0], dtype=np.int64)
-            v = self.weights(t, vectors[i][1])
-            terms.append(t)
-            values.append(v)
-            self.starts.append(self.starts[-1] + len(t))
-            np.maximum.at(self.most, (t, place // BLOCK), v)
-        self.terms = np.concatenate(terms) if terms else np.zeros(0, np.int64)
+        terms = [np.array(vectors[i][0], dtype=np.int32) for i in order]
+        counts = [np.array(vectors[i][1], dtype=np.int32) for i in order]
+        values = [self.weights(t, c) for t, c in zip(terms, counts, strict=True)]
+        sizes = np.array([len(t) for t in terms], dtype=np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.terms = np.concatenate(terms) if terms else np.zeros(0, np.int32)
+        self.counts = np.concatenate(counts) if counts else np.zeros(0, np.int32)
         self.values = np.concatenate(values) if values else np.zeros(0)
-        self.counts = np.array([c for i in order for c in vectors[i][1]], dtype=np.int64)
-        self.starts = np.array(self.starts)
+        by = np.argsort(self.terms, kind="stable")
+        self.places, self.weighed = np.repeat(np.arange(len(order)), sizes)[by], self.values[by]
+        self.lists = np.concatenate([[0], np.cumsum(np.bincount(self.terms, minlength=len(idf)))]).astype(np.int64)
         self.steps: list[tuple[float, float]] = []
 
     def weights(self, terms: np.ndarray, counts) -> np.ndarray:
@@ -71,23 +72,14 @@ class Index:
 
     def nearest(self, terms: np.ndarray, counts, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples that share a term; ties to the earlier place."""
-        q = self.weights(terms, counts)
-        bound = q @ self.most[terms]
-        falling = np.argsort(-bound, kind="stable")
-        dense = np.zeros(len(self.idf))
-        dense[terms] = q
-        places, cosines = np.empty(0, np.int64), np.empty(0)
-        for b in falling:
-            if bound[b] <= 0 or len(places) == k and bound[b] + 1e-12 < cosines[-1]:
-                break
-            lo, hi = b * BLOCK, min((b + 1) * BLOCK, len(self.ids))
-            at = self.starts[lo : hi + 1]
-            dots = np.add.reduceat(self.values[at[0] : at[-1]] * dense[self.terms[at[0] : at[-1]]], at[:-1] - at[0])
-            hit = np.flatnonzero(dots > 0)
-            places, cosines = np.concatenate([places, hit + lo]), np.concatenate([cosines, dots[hit]])
-            best = np.lexsort((places, -cosines))[:k]
-            places, cosines = places[best], cosines[best]
-        return places, cosines
+        q, cosines = self.weights(terms, counts), np.zeros(len(self.ids))
+        for x, lo, hi in zip(q.tolist(), self.lists[terms].tolist(), self.lists[np.asarray(terms) + 1].tolist(), strict=True):
+            cosines[self.places[lo:hi]] += x * self.weighed[lo:hi]
+        hit = np.flatnonzero(cosines > 0)
+        if len(hit) > k:
+            hit = hit[cosines[hit] >= np.partition(cosines[hit], len(hit) - k)[len(hit) - k]]
+        best = hit[np.lexsort((hit, -cosines[hit]))[:k]]
+        return best, cosines[best]
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         """Share of toxic neighbours, by closeness."""
@@ -125,15 +117,14 @@ def _levels(counts: dict[bytes, int]):
 def _stems(word: bytes):
     """Beginnings of a word, marked as such."""
     for n in STEMS:
-        if len(word) > n + 1:
+        if len(word) > n + 1 and not word.startswith(b"~"):
             yield word[:n] + b"*"
 
 
 def all_features(tokens: list[bytes]) -> set[bytes]:
     counts: dict[bytes, int] = {}
     for w in tokens:
-        if len(w) <= TERM_BYTES:
-            counts[w] = counts.get(w, 0) + 1
+        counts[w] = counts.get(w, 0) + 1
     for w, n in [*counts.items()]:
         for t in _stems(w):
             counts[t] = counts.get(t, 0) + n
@@ -147,30 +138,31 @@ def copy_key(tokens: list[bytes]) -> bytes:
 
 
 class Space:
-    """The chosen terms. Counts them in whole texts."""
+    """Words of the examples and chosen terms. Counts them in whole texts."""
 
     def __init__(self, terms: list[bytes]):
         self.number = {t: i for i, t in enumerate(terms)}
-        self.bases = {t.partition(b"#")[0] for t in terms}
+        self.stems = {t.partition(b"#")[0] for t in terms if b"*" in t and not t.startswith(b"~")}
+        self.repeated = {t.rpartition(b"#")[0] for t in terms if b"#" in t and not t.startswith(b"~")}
         self.memo: dict[bytes, tuple[bytes, ...]] = {}
 
     def __len__(self):
         return len(self.number)
 
     def counts(self, text: str | None) -> tuple[tuple[int, ...], tuple[int, ...]]:
-        found, memo = terms_of(text), self.memo
-        counts: dict[bytes, int] = {}
-        for w in set(found):
+        counts, memo = Counter(terms_of(text)), self.memo
+        for w, n in [*counts.items()]:
             hit = memo.get(w)
             if hit is None:
                 if len(memo) > MEMO:
                     memo.clear()
-                hit = memo[w] = tuple(t for t in (w, *_stems(w)) if t in self.bases) if len(w) <= TERM_BYTES else ()
-            if hit:
-                n = found.count(w)
-                for t in hit:
-                    counts[t] = counts.get(t, 0) + n
-        pairs = sorted((self.number[t], n) for t, n in _levels(counts) if t in self.number)
+                hit = memo[w] = tuple(t for t in _stems(w) if t in self.stems)
+            for t in hit:
+                counts[t] += n
+        pairs = [(self.number[t], n) for t, n in counts.items() if t in self.number]
+        again = {t: n for t, n in counts.items() if n > 1 and t in self.repeated}
+        pairs += [(self.number[t], n) for t, n in _levels(again) if t not in again and t in self.number]
+        pairs.sort()
         return tuple(p[0] for p in pairs), tuple(p[1] for p in pairs)
 
 
@@ -210,22 +202,23 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "te
     sizes = {r["toxic"]: r["n"] for r in shown.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     rates = [of_class.get(c, 0) / max(1, sizes.get(c, 0)) for c in (0, 1)]
-    chosen: list[bytes] = []
-    if n0 and n1:
+    chosen, factors = [], np.zeros(0)
+    if n0 + n1:
         terms = shown.mapInArrow(featured, "id long, toxic int, terms array<binary>")
-        tested = terms.select("toxic", F.explode("terms").alias("t")).groupBy("t").agg(F.sum("toxic").alias("b"), F.count(F.lit(1)).alias("df")).filter("df >= 3")
-        tested = scratch.table(tested, "tested")
-        least = max(12.0, 2 * math.log(max(1, tested.count())))
+        tested = terms.select("toxic", F.explode("terms").alias("t")).groupBy("t").agg(F.sum("toxic").alias("b"), F.count(F.lit(1)).alias("df"))
+        # Folded words hold none of these marks.
+        plain = (F.substring("t", 1, 1) == F.lit(b"~")) | ((F.locate("*", F.decode("t", "ISO-8859-1")) == 0) & (F.locate("#", F.decode("t", "ISO-8859-1")) == 0))
+        plain = plain & ~((F.substring("t", 1, 1) == F.lit(b"~")) & (F.length("t") > 17))
+        tested = scratch.table(tested.withColumn("word", plain).filter("word or df >= 3"), "tested")
+        least = max(12.0, 2 * math.log(max(1, tested.filter("df >= 3").count())))
         cell = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
         b, df, n = F.col("b").cast("double"), F.col("df").cast("double"), float(n0 + n1)
         g = 2 * (cell(b, df * n1 / n) + cell(df - b, df * n0 / n) + cell(n1 - b, (n - df) * n1 / n) + cell(n0 - df + b, (n - df) * n0 / n))
-        best = tested.withColumn("g", g).filter(F.col("g") > least).orderBy(F.col("g").desc(), "t").limit(TERMS).collect()
-        held = 0
-        for r in best:
-            held += r["df"]
-            if held > POSTINGS:
-                break
-            chosen.append(bytes(r["t"]))
+        ranked = tested.withColumn("g", g).select("t", "word", "g")
+        best = ranked.filter(~F.col("word") & (F.col("g") > least)).orderBy(F.col("g").desc(), "t").limit(TERMS)
+        found = ranked.filter("word").unionByName(best).toArrow().sort_by("t")
+        chosen = found.column("t").to_pylist()
+        factors = np.clip(np.nan_to_num(found.column("g").to_numpy()) / least, FLOOR, 1)
     space = Space(chosen)
     share = spark.sparkContext.broadcast(space)
 
@@ -236,25 +229,29 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "te
                 rows += 1
                 for i in own.counts(t)[0]:
                     df[i] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(df))], pa.int32()), pa.array([rows, *df.tolist()], pa.int64())], names=["term", "df"])
+        met = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], met]), pa.int32()), pa.array(np.concatenate([[rows], df[met]]), pa.int64())], names=["term", "df"])
 
-    totals = {r["term"]: r["df"] for r in slim.select("text").mapInArrow(frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()} if chosen else {}
-    n = totals.get(-1, 0)
-    idf = np.array([math.log((1 + n) / (1 + totals.get(i, 0))) + 1 for i in range(len(chosen))])
+    seen = np.zeros(len(chosen) + 1)
+    if chosen:
+        totals = slim.select("text").mapInArrow(frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+        seen[totals.column("term").to_numpy()] = totals.column("df").to_numpy()
+    # The last place holds the number of rows.
+    idf = (np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1) * factors
 
     def vectors(batches):
         own = share.value
         for b in batches:
             found = [own.counts(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(f[0]) for f in found], pa.list_(pa.int32())), pa.array([list(f[1]) for f in found], pa.list_(pa.int32()))], names=["id", "toxic", "terms", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([np.array(f[k], np.int32).tobytes() for f in found], pa.binary()) for k in (0, 1))], names=["id", "toxic", "terms", "counts"])
 
-    rows = shown.select("id", "toxic", "text").mapInArrow(vectors, "id long, toxic int, terms array<int>, counts array<int>").collect()
+    rows = shown.select("id", "toxic", "text").mapInArrow(vectors, "id long, toxic int, terms binary, counts binary").toArrow().to_pylist()
     full = [r for r in rows if r["terms"]]
     bare = [r["toxic"] for r in rows if not r["terms"]]
     weight = sum(rates[t] for t in bare)
     prior = of_class.get(1, 0) / max(1, of_class.get(0, 0) + of_class.get(1, 0))
     empty = (rates[1] * sum(bare) + prior) / (weight + 1) if rows else 0.0
-    index = Index(idf, [(r["terms"], r["counts"]) for r in full], [r["toxic"] for r in full], [r["id"] for r in full], (rates[0], rates[1]), empty)
+    index = Index(idf, [tuple(np.frombuffer(r[c], np.int32) for c in ("terms", "counts")) for r in full], [r["toxic"] for r in full], [r["id"] for r in full], (rates[0], rates[1]), empty)
     if full:
         shared = spark.sparkContext.broadcast(index)
 
@@ -289,12 +286,13 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "
         for b in batches:
             scores, shown = [], []
             for t in b.column(b.num_columns - 1).to_pylist():
-                key = own.counts(t)
+                key = hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
                 got = seen.get(key)
                 if got is None:
                     got = (ix.empty, [])
-                    if key[0]:
-                        places, cosines = ix.nearest(np.array(key[0]), key[1])
+                    terms, counts = own.counts(t)
+                    if terms:
+                        places, cosines = ix.nearest(np.array(terms), counts)
                         if len(places):
                             got = (ix.calibrated(ix.vote(places, cosines)), [{"doc_id": int(ix.ids[p]), "cosine": float(c), "toxic": int(ix.toxic[p])} for p, c in zip(places[:3], cosines[:3], strict=True)])
                     if len(seen) > 100_000:

@@ -282,3 +282,14 @@ def test_isotonic_rises():
     steps = toxicity.isotonic(v.tolist(), (rng.random(300) < v).astype(int).tolist(), [1.0] * 300, 0.5)
     xs, ys = zip(*steps)
     assert list(xs) == sorted(xs) and all(0 <= y <= 1 for y in ys)
+
+
+def test_toxicity_finds_neighbours_by_any_shared_word(spark):
+    docs, labels = toxic_rows()
+    known = [i for i, _, _ in labels if zlib.crc32(str(i).encode()) % 5]
+    rare = next(i for i in known if i % 6)
+    texts = dict(docs)
+    docs = [(i, t + " raresingleword" if i == rare else t) for i, t in docs]
+    out = {r["__doc"]["doc_id"]: r["__evidence"] for r in toxicity.score(spark, frame(spark, docs + [(6000, "raresingleword"), (6001, "neverseen")]), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert [e["doc_id"] for e in out[6000]] == [rare] and out[6001] == []
+    assert all(out[i] for i in texts)
