@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -131,12 +130,6 @@ def all_features(tokens: list[bytes]) -> set[bytes]:
     return {t for t, _ in _levels(counts)}
 
 
-def copy_key(tokens: list[bytes]) -> bytes:
-    """Equal for most near copies, rarely for other texts: three minima over the words."""
-    own = set(tokens)
-    return b"".join(min((zlib.crc32(w, seed) for w in own), default=0).to_bytes(4, "big") for seed in (1, 2, 3))
-
-
 class Space:
     """Words of the examples and chosen terms. Counts them in whole texts."""
 
@@ -183,22 +176,15 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "te
     slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     shown = slim.join(F.broadcast(sample), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
-    def listed(batches):
-        for b in batches:
-            texts = [terms_of(t) for t in b.column(1).to_pylist()]
-            keys = [copy_key(ts) for ts in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys, pa.binary()), b.column(1)], names=["id", "toxic", "key", "text"])
-
     def featured(batches):
         for b in batches:
             for i in range(b.num_rows):
                 terms = sorted(all_features(terms_of(b.column(2)[i].as_py())))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([terms], pa.list_(pa.binary()))], names=["id", "toxic", "terms"])
 
-    # Of near copies one example stays.
-    shown = scratch.table(shown.mapInArrow(listed, "id long, toxic int, key binary, text string"), "shown")
-    one = shown.groupBy("key", "toxic").agg(F.min("id").alias("id")).select("id")
-    shown = scratch.table(shown.join(F.broadcast(one), "id", "left_semi").select("id", "toxic", "text"), "examples")
+    # Of exact copies one example stays.
+    shown = shown.groupBy("toxic", F.sha2(F.coalesce("text", F.lit("")), 256).alias("key")).agg(F.min(F.struct("id", "text")).alias("one"))
+    shown = scratch.table(shown.select("one.id", "toxic", "one.text"), "examples")
     sizes = {r["toxic"]: r["n"] for r in shown.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     rates = [of_class.get(c, 0) / max(1, sizes.get(c, 0)) for c in (0, 1)]

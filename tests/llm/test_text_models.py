@@ -293,3 +293,13 @@ def test_toxicity_finds_neighbours_by_any_shared_word(spark):
     out = {r["__doc"]["doc_id"]: r["__evidence"] for r in toxicity.score(spark, frame(spark, docs + [(6000, "raresingleword"), (6001, "neverseen")]), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
     assert [e["doc_id"] for e in out[6000]] == [rare] and out[6001] == []
     assert all(out[i] for i in texts)
+
+
+def test_toxicity_keeps_examples_that_are_no_exact_copies(spark):
+    docs, labels = toxic_rows()
+    known = [i for i, _, _ in labels if zlib.crc32(str(i).encode()) % 5]
+    texts = dict(docs)
+    docs += [(8000, texts[known[0]])]
+    labels += [(8000, 1, next(t for i, _, t in labels if i == known[0]))]
+    index = toxicity.fit(spark, frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), learns=lambda i: toxicity.id_crc(i) % 5 != 0)[1]
+    assert sorted(index.ids.tolist()) == sorted(known)
