@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -53,16 +55,29 @@ class Index:
         self.ids = np.array([ids[i] for i in order], dtype=np.int64)
         terms = [np.array(vectors[i][0], dtype=np.int32) for i in order]
         counts = [np.array(vectors[i][1], dtype=np.int32) for i in order]
-        values = [self.weights(t, c) for t, c in zip(terms, counts, strict=True)]
         sizes = np.array([len(t) for t in terms], dtype=np.int64)
         self.starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         self.terms = np.concatenate(terms) if terms else np.zeros(0, np.int32)
         self.counts = np.concatenate(counts) if counts else np.zeros(0, np.int32)
-        self.values = np.concatenate(values) if values else np.zeros(0)
-        by = np.argsort(self.terms, kind="stable")
-        self.places, self.weighed = np.repeat(np.arange(len(order)), sizes)[by], self.values[by]
-        self.lists = np.concatenate([[0], np.cumsum(np.bincount(self.terms, minlength=len(idf)))]).astype(np.int64)
         self.steps: list[tuple[float, float]] = []
+        self._invert()
+
+    def _invert(self):
+        sizes = np.diff(self.starts)
+        norms = (1 + np.log(self.counts)) * self.idf[self.terms]
+        self.values = np.concatenate([np.zeros(0), *(norms[a:b] / np.sqrt((norms[a:b] * norms[a:b]).sum()) for a, b in zip(self.starts, self.starts[1:]))])
+        by = np.argsort(self.terms, kind="stable")
+        self.places, self.weighed = np.repeat(np.arange(len(sizes)), sizes)[by], self.values[by]
+        self.lists = np.concatenate([[0], np.cumsum(np.bincount(self.terms, minlength=len(self.idf)))]).astype(np.int64)
+
+    def __getstate__(self):
+        # What is broadcast leaves out all that follows from the rest.
+        kept = {k: v for k, v in self.__dict__.items() if k not in ("values", "places", "weighed", "lists")}
+        return zlib.compress(pickle.dumps(kept), 1)
+
+    def __setstate__(self, packed):
+        self.__dict__.update(pickle.loads(zlib.decompress(packed)))
+        self._invert()
 
     def weights(self, terms: np.ndarray, counts) -> np.ndarray:
         """Unit vector of a text; every term of the space has a positive idf."""
@@ -130,6 +145,10 @@ def all_features(tokens: list[bytes]) -> set[bytes]:
     return {t for t, _ in _levels(counts)}
 
 
+def _unpacked(packed: bytes):
+    return Space(pickle.loads(zlib.decompress(packed)))
+
+
 class Space:
     """Words of the examples and chosen terms. Counts them in whole texts."""
 
@@ -139,6 +158,9 @@ class Space:
         self.repeated = {t.rpartition(b"#")[0] for t in terms if b"#" in t and not t.startswith(b"~")}
         self.memo: dict[bytes, tuple[bytes, ...]] = {}
 
+    def __reduce__(self):
+        return _unpacked, (zlib.compress(pickle.dumps([*self.number]), 1),)
+
     def __len__(self):
         return len(self.number)
 
