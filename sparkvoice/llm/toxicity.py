@@ -1,16 +1,19 @@
-"""Toxicity from the nearest labelled examples, by exact TF-IDF cosine over an inverted index.
+"""Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
-The labelled examples are a sample of at most ``EXAMPLES`` of each class (labelled documents in hash order, whole
-texts). All words of the examples are the vector space, with the word beginnings and repetitions that tell the classes
-apart by a log-likelihood ratio; document frequencies are counted over all documents. The ratio only weighs a word,
-from ``FLOOR`` to 1, so every shared word counts. A query adds up the postings of all its terms, which is exact.
-Votes weigh by cosine distance and by how thinly a class was sampled, and isotonic regression over the examples, each
-without itself, calibrates them.
+The labelled examples are a sample: labelled documents in hash order, whole texts, at most ``EXAMPLES`` of each class
+and ``LETTERS`` characters in all, which bounds the index and what is broadcast. All words of the examples are the
+vector space, with at most ``STEMMED`` word beginnings that tell the classes apart by a log-likelihood ratio; document
+frequencies are counted over all documents. The square of the ratio only weighs a word, from ``FLOOR`` to 1, so every
+shared word counts. Similar examples lie in one block of the index, and a term's postings hold the largest weight of each block.
+A query's bound of a block is the sum of these maxima; the blocks of the highest bounds are added up first, then all
+others whose bound reaches the k-th cosine found, which is exact. Votes weigh by cosine distance and by how thinly a
+class was sampled, and isotonic regression over the examples, each without itself, calibrates them.
 
 Defined cases: null or empty texts, and texts that share no word with any example, get the rate of toxic examples among such
 texts; labels other than 0 and 1, null ids and labels without a document are not learnt from; of several labels for an
-id the largest counts, of several texts the smallest; without labels every score is 0; repeated rows are scored one by
-one; an empty table gives an empty table; other columns are ignored by ``score`` and kept by ``reject``.
+id the largest counts, of several texts the smallest; of examples with equal texts and labels one stays; without labels
+every score is 0; repeated rows are scored one by one; an empty table gives an empty table; other columns are ignored
+by ``score`` and kept by ``reject``.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import math
 import pickle
 import zlib
 from collections import Counter
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +32,14 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, id_crc, table
 
-#: Examples of each class, terms that are not words; longer words in bytes go by a digest.
-EXAMPLES, TERMS, TERM_BYTES = 4096, 2048, 64
+#: Examples of each class and characters in all examples; word beginnings in the space; longer words in bytes go by a digest.
+EXAMPLES, LETTERS, STEMMED, TERM_BYTES = 2048, 24_000_000, 1024, 64
 #: Weight of a word that tells nothing about the classes.
 FLOOR = 0.05
-#: Lengths of word beginnings in bytes, repetitions that make a term of their own, words a worker remembers.
-STEMS, LEVELS, MEMO = (4, 5, 6, 7, 8), (2, 4), 300_000
+#: Lengths of word beginnings in bytes, words a worker remembers.
+STEMS, MEMO = (4, 5, 6, 7, 8), 200_000
+#: Examples in a block, blocks that are added up first, examples that others are laid beside.
+BLOCK, FIRST, CENTRES = 32, 4, 64
 NEIGHBOURS = 16
 FOLDS = 5
 SEED = 5
@@ -45,54 +51,100 @@ def terms_of(text: str | None) -> list[bytes]:
     return [w if len(w) <= TERM_BYTES else b"~" + hashlib.blake2b(w, digest_size=16).digest() for w in (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()]
 
 
+def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges lo to hi - 1 in a row, and the ranges' lengths."""
+    n = hi - lo
+    return np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n), n
+
+
 class Index:
-    """Unit vectors of examples, by example and inverted."""
+    """Unit vectors of examples, by example and inverted, with the maxima of blocks of examples."""
 
     def __init__(self, idf: np.ndarray, vectors, toxic: list[int], ids: list[int], importance: tuple[float, float], empty: float):
         order = sorted(range(len(vectors)), key=lambda i: ids[i])
         self.idf, self.empty, self.importance = idf, empty, importance
-        self.toxic = np.array([toxic[i] for i in order], dtype=np.int64)
-        self.ids = np.array([ids[i] for i in order], dtype=np.int64)
-        terms = [np.array(vectors[i][0], dtype=np.int32) for i in order]
-        counts = [np.array(vectors[i][1], dtype=np.int32) for i in order]
-        sizes = np.array([len(t) for t in terms], dtype=np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        self.terms = np.concatenate(terms) if terms else np.zeros(0, np.int32)
-        self.counts = np.concatenate(counts) if counts else np.zeros(0, np.int32)
+        self._hold(vectors, toxic, ids, order)
+        # Examples lie beside those that are closest to the same one of a few.
+        near, at = np.full(len(order), -1.0), np.zeros(len(order), dtype=np.int64)
+        for c in range(0, len(order), max(1, -(-len(order) // CENTRES))):
+            cosines = self._to(c)
+            at, near = np.where(cosines > near, c, at), np.maximum(cosines, near)
+        self._hold(vectors, toxic, ids, [order[i] for i in np.lexsort((-near, at))])
         self.steps: list[tuple[float, float]] = []
         self._invert()
 
+    def _hold(self, vectors, toxic, ids, order):
+        self.toxic = np.array([toxic[i] for i in order], dtype=np.int64)
+        self.ids = np.array([ids[i] for i in order], dtype=np.int64)
+        self.starts = np.concatenate([[0], np.cumsum([len(vectors[i][0]) for i in order])]).astype(np.int64)
+        self.terms = np.concatenate([np.zeros(0, np.int32), *(np.asarray(vectors[i][0], dtype=np.int32) for i in order)])
+        self.counts = np.concatenate([np.zeros(0, np.int32), *(np.asarray(vectors[i][1], dtype=np.int32) for i in order)])
+        self._weigh()
+
+    def _weigh(self):
+        w = (1 + np.log(self.counts)) * self.idf[self.terms]
+        norms = np.sqrt(np.add.reduceat(w * w, self.starts[:-1])) if len(self.ids) else np.zeros(0)
+        self.values = w / np.repeat(norms, np.diff(self.starts))
+
+    def _to(self, place: int) -> np.ndarray:
+        """Cosines of all examples with one of them."""
+        dense = np.zeros(len(self.idf))
+        at = slice(self.starts[place], self.starts[place + 1])
+        dense[self.terms[at]] = self.values[at]
+        return np.add.reduceat(dense[self.terms] * self.values, self.starts[:-1])
+
     def _invert(self):
-        sizes = np.diff(self.starts)
-        norms = (1 + np.log(self.counts)) * self.idf[self.terms]
-        self.values = np.concatenate([np.zeros(0), *(norms[a:b] / np.sqrt((norms[a:b] * norms[a:b]).sum()) for a, b in zip(self.starts, self.starts[1:]))])
         by = np.argsort(self.terms, kind="stable")
-        self.places, self.weighed = np.repeat(np.arange(len(sizes)), sizes)[by], self.values[by]
-        self.lists = np.concatenate([[0], np.cumsum(np.bincount(self.terms, minlength=len(self.idf)))]).astype(np.int64)
+        self.places = np.repeat(np.arange(len(self.ids)), np.diff(self.starts))[by]
+        self.weighed = self.values[by]
+        terms, block = self.terms[by], self.places // BLOCK
+        # An entry is a term in a block: a run of postings and the largest weight in it.
+        first = np.flatnonzero((np.diff(terms, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+        self.cuts = np.append(first, len(terms))
+        self.peaks = np.maximum.reduceat(self.weighed, first) if len(first) else np.zeros(0)
+        self.blocks = block[first]
+        self.lists = np.concatenate([[0], np.cumsum(np.bincount(terms[first], minlength=len(self.idf)))]).astype(np.int64)
 
     def __getstate__(self):
         # What is broadcast leaves out all that follows from the rest.
-        kept = {k: v for k, v in self.__dict__.items() if k not in ("values", "places", "weighed", "lists")}
+        kept = {k: self.__dict__[k] for k in ("idf", "empty", "importance", "toxic", "ids", "starts", "terms", "counts", "steps")}
         return zlib.compress(pickle.dumps(kept), 1)
 
     def __setstate__(self, packed):
         self.__dict__.update(pickle.loads(zlib.decompress(packed)))
+        self._weigh()
         self._invert()
 
     def weights(self, terms: np.ndarray, counts) -> np.ndarray:
         """Unit vector of a text; every term of the space has a positive idf."""
-        w = (1 + np.log(np.array(counts, dtype=np.float64))) * self.idf[terms]
+        w = (1 + np.log(np.asarray(counts, dtype=np.float64))) * self.idf[terms]
         return w / np.sqrt((w * w).sum())
 
     def nearest(self, terms: np.ndarray, counts, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples that share a term; ties to the earlier place."""
-        q, cosines = self.weights(terms, counts), np.zeros(len(self.ids))
-        for x, lo, hi in zip(q.tolist(), self.lists[terms].tolist(), self.lists[np.asarray(terms) + 1].tolist(), strict=True):
-            cosines[self.places[lo:hi]] += x * self.weighed[lo:hi]
+        """Places and cosines of the k nearest examples that share a term; ties to the smaller id."""
+        terms = np.asarray(terms)
+        entries, n = _spread(self.lists[terms], self.lists[terms + 1])
+        weight, block = np.repeat(self.weights(terms, counts), n), self.blocks[entries]
+        most = -(-len(self.ids) // BLOCK)
+        bound = np.bincount(block, weight * self.peaks[entries], minlength=most)
+        cosines = np.zeros(len(self.ids))
+
+        def add(chosen):
+            nonlocal cosines
+            e = entries[chosen]
+            postings, m = _spread(self.cuts[e], self.cuts[e + 1])
+            cosines += np.bincount(self.places[postings], np.repeat(weight[chosen], m) * self.weighed[postings], minlength=len(cosines))
+
+        first = np.zeros(most, dtype=bool)
+        first[np.argsort(-bound, kind="stable")[:FIRST]] = True
+        add(first[block])
+        least = np.partition(cosines, len(cosines) - k)[len(cosines) - k] if len(cosines) >= k else 0.0
+        # Rounding: a block goes only where its bound is clearly below.
+        add(((bound >= least - 1e-9) & ~first)[block])
         hit = np.flatnonzero(cosines > 0)
         if len(hit) > k:
             hit = hit[cosines[hit] >= np.partition(cosines[hit], len(hit) - k)[len(hit) - k]]
-        best = hit[np.lexsort((hit, -cosines[hit]))[:k]]
+        best = hit[np.lexsort((self.ids[hit], -cosines[hit]))[:k]]
         return best, cosines[best]
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
@@ -119,15 +171,6 @@ def isotonic(votes: list[float], labels: list[int], weights: list[float], prior:
     return [(x / w, (y + prior) / (w + 1)) for y, w, x in pools]
 
 
-def _levels(counts: dict[bytes, int]):
-    """Features and their counts: every word or stem, and again for those that stand there twice or four times."""
-    for t, n in counts.items():
-        yield t, n
-        for level in LEVELS:
-            if n >= level:
-                yield t + b"#%d" % level, 1
-
-
 def _stems(word: bytes):
     """Beginnings of a word, marked as such."""
     for n in STEMS:
@@ -135,14 +178,18 @@ def _stems(word: bytes):
             yield word[:n] + b"*"
 
 
-def all_features(tokens: list[bytes]) -> set[bytes]:
-    counts: dict[bytes, int] = {}
-    for w in tokens:
-        counts[w] = counts.get(w, 0) + 1
-    for w, n in [*counts.items()]:
-        for t in _stems(w):
-            counts[t] = counts.get(t, 0) + n
-    return {t for t, _ in _levels(counts)}
+class _Beginnings(dict):
+    """Word -> numbers of its beginnings in the space, found once."""
+
+    def __init__(self, number: dict[bytes, int]):
+        super().__init__()
+        self.number = {t: i for t, i in number.items() if t.endswith(b"*") and not t.startswith(b"~")}
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) > MEMO:
+            self.clear()
+        out = self[word] = tuple(self.number[t] for t in _stems(word) if t in self.number)
+        return out
 
 
 def _unpacked(packed: bytes):
@@ -150,13 +197,11 @@ def _unpacked(packed: bytes):
 
 
 class Space:
-    """Words of the examples and chosen terms. Counts them in whole texts."""
+    """Words of the examples and chosen beginnings, as numbers. Counts them in whole texts."""
 
     def __init__(self, terms: list[bytes]):
         self.number = {t: i for i, t in enumerate(terms)}
-        self.stems = {t.partition(b"#")[0] for t in terms if b"*" in t and not t.startswith(b"~")}
-        self.repeated = {t.rpartition(b"#")[0] for t in terms if b"#" in t and not t.startswith(b"~")}
-        self.memo: dict[bytes, tuple[bytes, ...]] = {}
+        self.beginnings = _Beginnings(self.number)
 
     def __reduce__(self):
         return _unpacked, (zlib.compress(pickle.dumps([*self.number]), 1),)
@@ -164,120 +209,116 @@ class Space:
     def __len__(self):
         return len(self.number)
 
-    def counts(self, text: str | None) -> tuple[tuple[int, ...], tuple[int, ...]]:
-        counts, memo = Counter(terms_of(text)), self.memo
-        for w, n in [*counts.items()]:
-            hit = memo.get(w)
-            if hit is None:
-                if len(memo) > MEMO:
-                    memo.clear()
-                hit = memo[w] = tuple(t for t in _stems(w) if t in self.stems)
-            for t in hit:
-                counts[t] += n
-        pairs = [(self.number[t], n) for t, n in counts.items() if t in self.number]
-        again = {t: n for t, n in counts.items() if n > 1 and t in self.repeated}
-        pairs += [(self.number[t], n) for t, n in _levels(again) if t not in again and t in self.number]
-        pairs.sort()
-        return tuple(p[0] for p in pairs), tuple(p[1] for p in pairs)
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers, rising, and counts of a text's terms."""
+        found = Counter(terms_of(text))
+        numbers = np.fromiter(map(self.number.get, found, repeat(-1)), np.int32, len(found))
+        counts = np.fromiter(found.values(), np.int32, len(found))
+        held = numbers >= 0
+        numbers, counts = numbers[held], counts[held]
+        more: Counter = Counter()
+        for w in compress(found, map(self.beginnings.__getitem__, found)):
+            for i in self.beginnings[w]:
+                more[i] += found[w]
+        if more:
+            numbers, counts = np.append(numbers, [*more]), np.append(counts, [*more.values()])
+        order = np.argsort(numbers)
+        return numbers[order], counts[order]
+
+
+def choose_terms(texts: list[str | None], toxic: list[int]) -> tuple[list[bytes], np.ndarray]:
+    """The terms of the space and their weights by the log-likelihood ratio."""
+    n = [len(toxic) - sum(toxic), sum(toxic)]
+    words, stems = (Counter(), Counter()), (Counter(), Counter())
+    for text, c in zip(texts, toxic, strict=True):
+        own = set(terms_of(text))
+        words[c].update(own)
+        stems[c].update({s for w in own for s in _stems(w)})
+
+    def ratio(terms, by):
+        clean, bad = (np.array([by[c][t] for t in terms], dtype=np.float64) for c in (0, 1))
+        df, whole = clean + bad, n[0] + n[1]
+        out = np.zeros(len(terms))
+        for seen, meant in ((bad, df * n[1]), (clean, df * n[0]), (n[1] - bad, (whole - df) * n[1]), (n[0] - clean, (whole - df) * n[0])):
+            at = seen > 0
+            out[at] += 2 * seen[at] * np.log(seen[at] * whole / meant[at])
+        return out
+
+    plain = sorted(words[0] | words[1])
+    begun = sorted(s for s in stems[0] | stems[1] if stems[0][s] + stems[1][s] >= 3)
+    g, h = ratio(plain, words), ratio(begun, stems)
+    tested = len(begun) + sum(words[0][w] + words[1][w] >= 3 for w in plain)
+    least = max(12.0, 2 * math.log(max(1, tested)))
+    best = [i for i in np.lexsort((np.arange(len(begun)), -h))[:STEMMED] if h[i] > least]
+    return plain + [begun[i] for i in best], np.maximum(FLOOR, np.minimum(1, np.append(g, h[best]) / least) ** 2)
+
+
+def sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str, learns) -> tuple[list, list[int]]:
+    """Examples (id, toxic, text) by id, and the number of labelled ids of each class."""
+    scratch = Scratch(spark, "toxicity")
+    known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(f"`{label}`").cast("int").alias("toxic"))
+    known = known.filter(F.col("id").isNotNull() & F.col("toxic").isin(0, 1) & learns(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
+    known = scratch.table(known.withColumn("h", F.xxhash64(F.lit(SEED), "id")), "labels")
+    of_class = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    first = [known.filter(F.col("toxic") == c).orderBy("h", "id").limit(EXAMPLES) for c in (0, 1)]
+    # The sample has 2 * EXAMPLES rows of three numbers at most.
+    chosen = F.broadcast(scratch.table(first[0].unionByName(first[1]), "sample"))
+    shown = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).join(chosen, "id")
+    shown = shown.groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"), F.max("h").alias("h"))
+    shown = shown.groupBy("toxic", F.sha2(F.coalesce("text", F.lit("")), 256).alias("key")).agg(F.min(F.struct("id", "h", "text")).alias("one"))
+    shown = scratch.table(shown.select("one.id", "one.h", "toxic", F.coalesce("one.text", F.lit("")).alias("text")), "examples")
+    left, held = LETTERS, []
+    for r in sorted(shown.select("id", "h", F.length("text").alias("n")).collect(), key=lambda r: (r["h"], r["id"])):
+        if r["n"] <= left:
+            left -= r["n"]
+            held.append(r["id"])
+    rows = shown.filter(F.col("id").isin(held)) if len(held) < 2 * EXAMPLES and left < LETTERS // 2 else shown
+    rows = [r for r in rows.select("id", "toxic", "text").toArrow().to_pylist() if r["id"] in set(held)] if held else []
+    return sorted(rows, key=lambda r: r["id"]), [of_class.get(c, 0) for c in (0, 1)]
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", learns=None, folds: int = FOLDS):
     """The term space and the index, of bounded size. ``learns``: which ids may be learnt from."""
-    scratch = Scratch(spark, "toxicity")
     learns = (lambda i: id_crc(i) % folds != 0) if learns is None else learns
-    known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(f"`{label}`").cast("int").alias("toxic"))
-    known = known.filter(F.col("id").isNotNull() & F.col("toxic").isin(0, 1) & learns(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
-    known = scratch.table(known, "labels")
-    of_class = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    sample = None
-    for c in (0, 1):
-        part = known.filter(F.col("toxic") == c).orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(EXAMPLES)
-        sample = part if sample is None else sample.unionByName(part)
-    sample = scratch.table(sample, "sample")
-    # The sample has 2 * EXAMPLES rows of two numbers at most.
-    slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    shown = slim.join(F.broadcast(sample), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-
-    def featured(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                terms = sorted(all_features(terms_of(b.column(2)[i].as_py())))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([terms], pa.list_(pa.binary()))], names=["id", "toxic", "terms"])
-
-    # Of exact copies one example stays.
-    shown = shown.groupBy("toxic", F.sha2(F.coalesce("text", F.lit("")), 256).alias("key")).agg(F.min(F.struct("id", "text")).alias("one"))
-    shown = scratch.table(shown.select("one.id", "toxic", "one.text"), "examples")
-    sizes = {r["toxic"]: r["n"] for r in shown.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    rates = [of_class.get(c, 0) / max(1, sizes.get(c, 0)) for c in (0, 1)]
-    chosen, factors = [], np.zeros(0)
-    if n0 + n1:
-        terms = shown.mapInArrow(featured, "id long, toxic int, terms array<binary>")
-        tested = terms.select("toxic", F.explode("terms").alias("t")).groupBy("t").agg(F.sum("toxic").alias("b"), F.count(F.lit(1)).alias("df"))
-        # Folded words hold none of these marks.
-        plain = (F.substring("t", 1, 1) == F.lit(b"~")) | ((F.locate("*", F.decode("t", "ISO-8859-1")) == 0) & (F.locate("#", F.decode("t", "ISO-8859-1")) == 0))
-        plain = plain & ~((F.substring("t", 1, 1) == F.lit(b"~")) & (F.length("t") > 17))
-        tested = scratch.table(tested.withColumn("word", plain).filter("word or df >= 3"), "tested")
-        least = max(12.0, 2 * math.log(max(1, tested.filter("df >= 3").count())))
-        cell = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
-        b, df, n = F.col("b").cast("double"), F.col("df").cast("double"), float(n0 + n1)
-        g = 2 * (cell(b, df * n1 / n) + cell(df - b, df * n0 / n) + cell(n1 - b, (n - df) * n1 / n) + cell(n0 - df + b, (n - df) * n0 / n))
-        ranked = tested.withColumn("g", g).select("t", "word", "g")
-        best = ranked.filter(~F.col("word") & (F.col("g") > least)).orderBy(F.col("g").desc(), "t").limit(TERMS)
-        found = ranked.filter("word").unionByName(best).toArrow().sort_by("t")
-        chosen = found.column("t").to_pylist()
-        factors = np.clip(np.nan_to_num(found.column("g").to_numpy()) / least, FLOOR, 1)
-    space = Space(chosen)
+    rows, of_class = sample(spark, docs, labels, text, doc_id, label, learns)
+    toxic = [r["toxic"] for r in rows]
+    rates = [of_class[c] / max(1, toxic.count(c)) for c in (0, 1)]
+    terms, factors = choose_terms([r["text"] for r in rows], toxic) if rows else ([], np.zeros(0))
+    space = Space(terms)
     share = spark.sparkContext.broadcast(space)
 
     def frequencies(batches):
-        own, df, rows = share.value, np.zeros(len(share.value), dtype=np.int64), 0
+        own, df, n = share.value, np.zeros(len(share.value), dtype=np.int64), 0
         for b in batches:
             for t in b.column(0).to_pylist():
-                rows += 1
-                for i in own.counts(t)[0]:
-                    df[i] += 1
+                n += 1
+                df[own.counts(t)[0]] += 1
         met = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], met]), pa.int32()), pa.array(np.concatenate([[rows], df[met]]), pa.int64())], names=["term", "df"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(met, len(df)), pa.int32()), pa.array(np.append(df[met], n), pa.int64())], names=["term", "df"])
 
-    seen = np.zeros(len(chosen) + 1)
-    if chosen:
-        totals = slim.select("text").mapInArrow(frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
-        seen[totals.column("term").to_numpy()] = totals.column("df").to_numpy()
     # The last place holds the number of rows.
+    seen = np.zeros(len(terms) + 1)
+    if terms:
+        slim = docs.select(F.col(f"`{text}`").alias("text"))
+        totals = slim.mapInArrow(frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+        seen[totals.column("term").to_numpy()] = totals.column("df").to_numpy()
     idf = (np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1) * factors
-
-    def vectors(batches):
-        own = share.value
-        for b in batches:
-            found = [own.counts(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([np.array(f[k], np.int32).tobytes() for f in found], pa.binary()) for k in (0, 1))], names=["id", "toxic", "terms", "counts"])
-
-    rows = shown.select("id", "toxic", "text").mapInArrow(vectors, "id long, toxic int, terms binary, counts binary").toArrow().to_pylist()
-    full = [r for r in rows if r["terms"]]
-    bare = [r["toxic"] for r in rows if not r["terms"]]
-    weight = sum(rates[t] for t in bare)
-    prior = of_class.get(1, 0) / max(1, of_class.get(0, 0) + of_class.get(1, 0))
-    empty = (rates[1] * sum(bare) + prior) / (weight + 1) if rows else 0.0
-    index = Index(idf, [tuple(np.frombuffer(r[c], np.int32) for c in ("terms", "counts")) for r in full], [r["toxic"] for r in full], [r["id"] for r in full], (rates[0], rates[1]), empty)
-    if full:
-        shared = spark.sparkContext.broadcast(index)
-
-        def left_out(batches):
-            own = shared.value
-            for b in batches:
-                out = []
-                for place in b.column(0).to_pylist():
-                    at = slice(own.starts[place], own.starts[place + 1])
-                    terms, counts = own.terms[at], own.counts[at]
-                    places, cosines = own.nearest(terms, counts, NEIGHBOURS + 1)
-                    other = places != place
-                    out.append(own.vote(places[other][:NEIGHBOURS], cosines[other][:NEIGHBOURS]) if other.any() else None)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=["place", "vote"])
-
-        votes = spark.range(len(full)).mapInArrow(left_out, "place long, vote double").filter("vote is not null").collect()
-        toxic = [int(index.toxic[v["place"]]) for v in votes]
-        index.steps = isotonic([v["vote"] for v in votes], toxic, [rates[t] for t in toxic], prior)
+    vectors = [space.counts(r["text"]) for r in rows]
+    full = [i for i, v in enumerate(vectors) if len(v[0])]
+    bare = [toxic[i] for i, v in enumerate(vectors) if not len(v[0])]
+    prior = of_class[1] / max(1, sum(of_class))
+    empty = (rates[1] * sum(bare) + prior) / (sum(rates[c] for c in bare) + 1) if rows else 0.0
+    index = Index(idf, [vectors[i] for i in full], [toxic[i] for i in full], [rows[i]["id"] for i in full], (rates[0], rates[1]), empty)
+    votes, truth = [], []
+    # The examples are bounded in number and length, so the driver asks each for the others.
+    for place in range(len(full)):
+        at = slice(index.starts[place], index.starts[place + 1])
+        places, cosines = index.nearest(index.terms[at], index.counts[at], NEIGHBOURS + 1)
+        other = np.flatnonzero(places != place)[:NEIGHBOURS]
+        if len(other):
+            votes.append(index.vote(places[other], cosines[other]))
+            truth.append(int(index.toxic[place]))
+    index.steps = isotonic(votes, truth, [rates[c] for c in truth], prior)
     return space, index
 
 
@@ -299,8 +340,8 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "
                 if got is None:
                     got = (ix.empty, [])
                     terms, counts = own.counts(t)
-                    if terms:
-                        places, cosines = ix.nearest(np.array(terms), counts)
+                    if len(terms):
+                        places, cosines = ix.nearest(terms, counts)
                         if len(places):
                             got = (ix.calibrated(ix.vote(places, cosines)), [{"doc_id": int(ix.ids[p]), "cosine": float(c), "toxic": int(ix.toxic[p])} for p, c in zip(places[:3], cosines[:3], strict=True)])
                     if len(seen) > 100_000:
