@@ -5,8 +5,9 @@ and ``LETTERS`` characters in all, which bounds the index and what is broadcast.
 vector space, with at most ``STEMMED`` word beginnings that tell the classes apart by a log-likelihood ratio; document
 frequencies are counted over all documents. The square of the ratio only weighs a word, from ``FLOOR`` to 1, so every
 shared word counts. Similar examples lie in one block of the index, and a term's postings hold the largest weight of each block.
-A query's bound of a block is the sum of these maxima; the blocks of the highest bounds are added up first, then all
-others whose bound reaches the k-th cosine found, which is exact. Votes weigh by cosine distance and by how thinly a
+The most frequent terms have a row over all examples instead, and queries a matrix product with these rows. A query's
+bound of a block is its largest such sum and the maxima of the other terms; the blocks of the highest bounds are added
+up first, then all others whose bound reaches the k-th cosine found, which is exact. Votes weigh by cosine distance and by how thinly a
 class was sampled, and isotonic regression over the examples, each without itself, calibrates them.
 
 Defined cases: null or empty texts, and texts that share no word with any example, get the rate of toxic examples among such
@@ -23,7 +24,7 @@ import math
 import pickle
 import zlib
 from collections import Counter
-from itertools import compress, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +34,15 @@ from pyspark.sql import functions as F
 from .common import Scratch, id_crc, table
 
 #: Examples of each class and characters in all examples; word beginnings in the space; longer words in bytes go by a digest.
-EXAMPLES, LETTERS, STEMMED, TERM_BYTES = 2048, 24_000_000, 1024, 64
+EXAMPLES, LETTERS, STEMMED, TERM_BYTES = 4096, 48_000_000, 1024, 64
 #: Weight of a word that tells nothing about the classes.
 FLOOR = 0.05
-#: Lengths of word beginnings in bytes, words a worker remembers.
-STEMS, MEMO = (4, 5, 6, 7, 8), 200_000
+#: Lengths of word beginnings in bytes.
+STEMS = (4, 5, 6, 7, 8)
 #: Examples in a block, blocks that are added up first, examples that others are laid beside.
-BLOCK, FIRST, CENTRES = 32, 4, 64
+BLOCK, FIRST, CENTRES = 256, 2, 64
+#: Most frequent terms, whose postings are held as rows with a place for every example; queries that are asked together.
+DENSE, ASKED = 512, 64
 NEIGHBOURS = 16
 FOLDS = 5
 SEED = 5
@@ -94,16 +97,26 @@ class Index:
         return np.add.reduceat(dense[self.terms] * self.values, self.starts[:-1])
 
     def _invert(self):
-        by = np.argsort(self.terms, kind="stable")
-        self.places = np.repeat(np.arange(len(self.ids)), np.diff(self.starts))[by]
-        self.weighed = self.values[by]
-        terms, block = self.terms[by], self.places // BLOCK
+        n, v = len(self.ids), len(self.idf)
+        df = np.bincount(self.terms, minlength=v)
+        often = np.sort(np.argsort(-df, kind="stable")[:DENSE]) if n else np.zeros(0, np.int64)
+        often = often[df[often] > n / 16]
+        self.row = np.full(v, -1, dtype=np.int32)
+        self.row[often] = np.arange(len(often))
+        places = np.repeat(np.arange(n), np.diff(self.starts))
+        held = self.row[self.terms] >= 0
+        self.rows = np.zeros((len(often), n))
+        self.rows[self.row[self.terms[held]], places[held]] = self.values[held]
+        self.edges = np.arange(0, n, BLOCK)
+        by = np.argsort(self.terms[~held], kind="stable")
+        self.places, self.weighed, terms = places[~held][by], self.values[~held][by], self.terms[~held][by]
+        block = self.places // BLOCK
         # An entry is a term in a block: a run of postings and the largest weight in it.
         first = np.flatnonzero((np.diff(terms, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
         self.cuts = np.append(first, len(terms))
         self.peaks = np.maximum.reduceat(self.weighed, first) if len(first) else np.zeros(0)
         self.blocks = block[first]
-        self.lists = np.concatenate([[0], np.cumsum(np.bincount(terms[first], minlength=len(self.idf)))]).astype(np.int64)
+        self.lists = np.concatenate([[0], np.cumsum(np.bincount(terms[first], minlength=v))]).astype(np.int64)
 
     def __getstate__(self):
         # What is broadcast leaves out all that follows from the rest.
@@ -122,30 +135,49 @@ class Index:
 
     def nearest(self, terms: np.ndarray, counts, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples that share a term; ties to the smaller id."""
-        terms = np.asarray(terms)
-        entries, n = _spread(self.lists[terms], self.lists[terms + 1])
-        weight, block = np.repeat(self.weights(terms, counts), n), self.blocks[entries]
-        most = -(-len(self.ids) // BLOCK)
-        bound = np.bincount(block, weight * self.peaks[entries], minlength=most)
-        cosines = np.zeros(len(self.ids))
+        return self.nearest_of([(np.asarray(terms), counts)], k)[0]
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The same for several queries of at least one term."""
+        n, most, m = len(self.ids), len(self.edges), len(queries)
+        terms = np.concatenate([q[0] for q in queries])
+        weights = np.concatenate([self.weights(*q) for q in queries])
+        asked = np.repeat(np.arange(m), [len(q[0]) for q in queries])
+        row = self.row[terms]
+        held = row >= 0
+        dense = np.zeros((m, len(self.rows)))
+        dense[asked[held], row[held]] = weights[held]
+        terms, weights, asked = terms[~held], weights[~held], asked[~held]
+        entries, runs = _spread(self.lists[terms], self.lists[terms + 1])
+        weights, asked, block = np.repeat(weights, runs), np.repeat(asked, runs), self.blocks[entries]
+        # The rows of frequent terms are added up for all examples; what the others can add to a block is bounded.
+        cosines = dense @ self.rows
+        bound = np.maximum.reduceat(cosines, self.edges, axis=1)
+        bound += np.bincount(asked * most + block, weights * self.peaks[entries], minlength=m * most).reshape(m, most)
 
         def add(chosen):
-            nonlocal cosines
-            e = entries[chosen]
-            postings, m = _spread(self.cuts[e], self.cuts[e + 1])
-            cosines += np.bincount(self.places[postings], np.repeat(weight[chosen], m) * self.weighed[postings], minlength=len(cosines))
-
-        first = np.zeros(most, dtype=bool)
-        first[np.argsort(-bound, kind="stable")[:FIRST]] = True
-        add(first[block])
-        least = np.partition(cosines, len(cosines) - k)[len(cosines) - k] if len(cosines) >= k else 0.0
+            at = chosen[asked, block]
+            e = entries[at]
+            postings, length = _spread(self.cuts[e], self.cuts[e + 1])
+            where = np.repeat(asked[at] * n, length) + self.places[postings]
+            cosines.ravel()[:] += np.bincount(where, np.repeat(weights[at], length) * self.weighed[postings], minlength=m * n)
+
+        first = np.zeros((m, most), dtype=bool)
+        np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST], True, axis=1)
+        add(first)
+        least = np.zeros(m)
+        for i in range(m):
+            found = np.concatenate([cosines[i, lo : lo + BLOCK] for lo in self.edges[first[i]]])
+            if len(found) >= k:
+                least[i] = np.partition(found, len(found) - k)[len(found) - k]
         # Rounding: a block goes only where its bound is clearly below.
-        add(((bound >= least - 1e-9) & ~first)[block])
-        hit = np.flatnonzero(cosines > 0)
-        if len(hit) > k:
-            hit = hit[cosines[hit] >= np.partition(cosines[hit], len(hit) - k)[len(hit) - k]]
-        best = hit[np.lexsort((self.ids[hit], -cosines[hit]))[:k]]
-        return best, cosines[best]
+        add((bound >= least[:, None] - 1e-9) & ~first)
+        out = []
+        for i in range(m):
+            hit = np.flatnonzero((cosines[i] >= least[i]) & (cosines[i] > 0))
+            best = hit[np.lexsort((self.ids[hit], -cosines[i, hit]))[:k]]
+            out.append((best, cosines[i, best]))
+        return out
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         """Share of toxic neighbours, by closeness."""
@@ -178,20 +210,6 @@ def _stems(word: bytes):
             yield word[:n] + b"*"
 
 
-class _Beginnings(dict):
-    """Word -> numbers of its beginnings in the space, found once."""
-
-    def __init__(self, number: dict[bytes, int]):
-        super().__init__()
-        self.number = {t: i for t, i in number.items() if t.endswith(b"*") and not t.startswith(b"~")}
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) > MEMO:
-            self.clear()
-        out = self[word] = tuple(self.number[t] for t in _stems(word) if t in self.number)
-        return out
-
-
 def _unpacked(packed: bytes):
     return Space(pickle.loads(zlib.decompress(packed)))
 
@@ -201,7 +219,9 @@ class Space:
 
     def __init__(self, terms: list[bytes]):
         self.number = {t: i for i, t in enumerate(terms)}
-        self.beginnings = _Beginnings(self.number)
+        # Beginnings in the space, by the shortest of them.
+        self.begun = {t: i for t, i in self.number.items() if t.endswith(b"*") and not t.startswith(b"~")}
+        self.heads = {t[: STEMS[0]] for t in self.begun}
 
     def __reduce__(self):
         return _unpacked, (zlib.compress(pickle.dumps([*self.number]), 1),)
@@ -211,15 +231,16 @@ class Space:
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers, rising, and counts of a text's terms."""
-        found = Counter(terms_of(text))
+        found, heads = Counter(terms_of(text)), self.heads
         numbers = np.fromiter(map(self.number.get, found, repeat(-1)), np.int32, len(found))
         counts = np.fromiter(found.values(), np.int32, len(found))
         held = numbers >= 0
         numbers, counts = numbers[held], counts[held]
         more: Counter = Counter()
-        for w in compress(found, map(self.beginnings.__getitem__, found)):
-            for i in self.beginnings[w]:
-                more[i] += found[w]
+        for w in [w for w in found if w[: STEMS[0]] in heads]:
+            for t in _stems(w):
+                if t in self.begun:
+                    more[self.begun[t]] += found[w]
         if more:
             numbers, counts = np.append(numbers, [*more]), np.append(counts, [*more.values()])
         order = np.argsort(numbers)
@@ -311,13 +332,14 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "te
     index = Index(idf, [vectors[i] for i in full], [toxic[i] for i in full], [rows[i]["id"] for i in full], (rates[0], rates[1]), empty)
     votes, truth = [], []
     # The examples are bounded in number and length, so the driver asks each for the others.
-    for place in range(len(full)):
-        at = slice(index.starts[place], index.starts[place + 1])
-        places, cosines = index.nearest(index.terms[at], index.counts[at], NEIGHBOURS + 1)
-        other = np.flatnonzero(places != place)[:NEIGHBOURS]
-        if len(other):
-            votes.append(index.vote(places[other], cosines[other]))
-            truth.append(int(index.toxic[place]))
+    for lo in range(0, len(full), ASKED):
+        part = range(lo, min(lo + ASKED, len(full)))
+        asked = [(index.terms[a:b], index.counts[a:b]) for a, b in zip(index.starts[part], index.starts[lo + 1 :], strict=False)]
+        for place, (places, cosines) in zip(part, index.nearest_of(asked, NEIGHBOURS + 1), strict=True):
+            other = np.flatnonzero(places != place)[:NEIGHBOURS]
+            if len(other):
+                votes.append(index.vote(places[other], cosines[other]))
+                truth.append(int(index.toxic[place]))
     index.steps = isotonic(votes, truth, [rates[c] for c in truth], prior)
     return space, index
 
@@ -333,22 +355,21 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "
         own, ix = shared.value
         seen: dict = {}
         for b in batches:
-            scores, shown = [], []
-            for t in b.column(b.num_columns - 1).to_pylist():
-                key = hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                got = seen.get(key)
-                if got is None:
-                    got = (ix.empty, [])
-                    terms, counts = own.counts(t)
-                    if len(terms):
-                        places, cosines = ix.nearest(terms, counts)
-                        if len(places):
-                            got = (ix.calibrated(ix.vote(places, cosines)), [{"doc_id": int(ix.ids[p]), "cosine": float(c), "toxic": int(ix.toxic[p])} for p, c in zip(places[:3], cosines[:3], strict=True)])
-                    if len(seen) > 100_000:
-                        seen.clear()
-                    seen[key] = got
-                scores.append(got[0])
-                shown.append(got[1])
+            texts = b.column(b.num_columns - 1).to_pylist()
+            keys = [hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
+            if len(seen) > 100_000:
+                seen.clear()
+            # Equal texts are asked once.
+            new = [(k, own.counts(t)) for k, t in {k: t for k, t in zip(keys, texts, strict=True) if k not in seen}.items()]
+            seen.update((k, (ix.empty, [])) for k, _ in new)
+            new = [x for x in new if len(x[1][0])] if len(ix.ids) else []
+            for lo in range(0, len(new), ASKED):
+                part = new[lo : lo + ASKED]
+                for (k, _), (places, cosines) in zip(part, ix.nearest_of([q for _, q in part]), strict=True):
+                    if len(places):
+                        shown = [{"doc_id": int(ix.ids[p]), "cosine": float(c), "toxic": int(ix.toxic[p])} for p, c in zip(places[:3], cosines[:3], strict=True)]
+                        seen[k] = (ix.calibrated(ix.vote(places, cosines)), shown)
+            scores, shown = zip(*(seen[k] for k in keys), strict=True) if keys else ((), ())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(shown, evidence)], names=[*b.schema.names[:-1], "__score", "__predicted", "__evidence"])
 
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__doc"), F.col(f"`{text}`").alias("__text"))
