@@ -4,15 +4,16 @@ A text's signature is ``CHUNKS * WIDTH`` MinHash symbols of 32 bits; its distanc
 at which they differ. Signatures are split into chunks. Two signatures that differ at fewer than 2 * CHUNKS places
 have, by pigeonhole, a chunk with at most one difference, so enumerating for each chunk the place of the error gives
 ``CHUNKS * WIDTH`` keys, and every pair under that threshold shares a key. For texts of similarity 0.8 the chance of
-sharing no key is about 1e-9. Pairs that share a key are held against a longer signature of ``FILTER`` symbols of
+sharing no key is about 2e-9. Nodes that share a key are held against a longer signature of ``FILTER`` symbols of
 8 bits and go on if it differs at ``FAR`` places at most, which texts of similarity 0.8 exceed about once in 1e7.
 
-Texts with equal sets are one node from the start. A bucket of nodes with the same key gives edges to its smallest
-node, not all pairs; the components of these edges are families, and nodes that may be linked lie in one family. A
-family's nodes are dealt, with their whole sets, into cells of bounded size so that every two of them meet in a cell.
-A cell holds nodes against each other by the longer signature and, where they are not connected yet, by exact set
-similarity, and gives the links that connect its nodes, not all of them. Components come from rounds of smallest labels
-with pointer jumping, all as tables.
+Texts with equal sets are one node from the start. The nodes with the same key are a bucket; of buckets that hold the
+same nodes one is kept. A bucket's nodes are dealt into cells of bounded size so that every two of them meet in a cell,
+and a cell gives the links by longer signature that connect its nodes, not all of them. The components of these links
+are families; only texts of nodes in families are read again. A family's nodes are dealt into cells in the same way,
+with their whole sets, and its cells give connecting links by exact set similarity. Components come from rounds of
+smallest labels with pointer jumping, all as tables. What is broadcast is counted first; beyond ``SMALL`` bytes it is
+joined by a shuffle.
 
 Defined cases: words are lower-cased in A-Z and compared as bytes; a text with fewer words than a shingle is one
 shingle as a whole; null and empty texts are empty sets and linked with nothing; repeated rows are equal sets; null ids
@@ -30,11 +31,13 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
-CHUNKS, WIDTH = 12, 4
+CHUNKS, WIDTH = 15, 5
 SYMBOLS = CHUNKS * WIDTH
 FILTER, FAR = 128, 49
 #: Nodes of a block and the numbers in their sets; two blocks at most meet in a cell.
 BLOCK_NODES, BLOCK_NUMBERS = 4096, 6_000_000
+#: Bytes of a table that is still broadcast, by its rows.
+SMALL = 48_000_000
 MEMO = 400_000
 #: Odd multipliers, fixed by a seed.
 _RNG = np.random.default_rng(20240229)
@@ -136,13 +139,17 @@ def _linked(x: np.ndarray, y: np.ndarray, limit: int) -> bool:
     return 100 * both >= limit * (len(x) + len(y) - both)
 
 
-def cell_links(gid: np.ndarray, n: np.ndarray, side: np.ndarray, low: np.ndarray, sets: list[np.ndarray], limit: int) -> list[tuple[int, int]]:
-    """Links that connect all linked nodes of a cell. With two blocks only pairs across them are looked at here."""
+def cell_links(gid: np.ndarray, n: np.ndarray, side: np.ndarray, low: np.ndarray, sets: list[np.ndarray] | None, limit: int) -> list[tuple[int, int]]:
+    """Links that connect all linked nodes of a cell, by signature alone where there are no sets. With two blocks only
+    pairs across them are looked at here."""
     root = np.arange(len(gid))
     two = len(np.unique(side)) > 1
     hub = -1
     out = []
 
+    def holds(i: int, j: int) -> bool:
+        return sets is None or _linked(sets[i], sets[j], limit)
+
     def link(i: int, j: int) -> None:
         out.append((int(min(gid[j], gid[i])), int(max(gid[j], gid[i]))))
         root[root == root[i]] = root[j]
@@ -151,14 +158,14 @@ def cell_links(gid: np.ndarray, n: np.ndarray, side: np.ndarray, low: np.ndarray
         fit = np.flatnonzero((100 * np.minimum(n[:i], n[i]) >= limit * np.maximum(n[:i], n[i])) & ((side[:i] != side[i]) | (not two)))
         # The node that others were linked to last is asked first, which spares most of a large component a look.
         at = np.searchsorted(fit, hub)
-        if at < len(fit) and fit[at] == hub and (low[hub] != low[i]).sum() <= FAR and _linked(sets[hub], sets[i], limit):
+        if at < len(fit) and fit[at] == hub and (low[hub] != low[i]).sum() <= FAR and holds(hub, i):
             link(i, hub)
         while len(fit):
             # The closest by signature first: once connected, the rest of a component needs no look.
             fit = fit[root[fit] != root[i]]
             far = (low[fit] != low[i]).sum(axis=1)
             fit, far = fit[far <= FAR], far[far <= FAR]
-            hit = next((j for j in fit[np.argsort(far, kind="stable")] if _linked(sets[j], sets[i], limit)), None)
+            hit = next((j for j in fit[np.argsort(far, kind="stable")] if holds(j, i)), None)
             if hit is None:
                 break
             link(i, hit)
@@ -167,12 +174,12 @@ def cell_links(gid: np.ndarray, n: np.ndarray, side: np.ndarray, low: np.ndarray
 
 
 def _cells(limit: int):
-    """Rows (family, cell, side, gid, n, low8, set), those of a cell together -> links (a, b)."""
+    """Rows (group, cell, side, gid, n, low8[, set]), those of a cell together -> links (a, b)."""
 
     def links(held: list[pa.RecordBatch]):
         t = pa.Table.from_batches(held)
         gid, n, side = (t[c].to_numpy() for c in ("gid", "n", "side"))
-        sets = [np.frombuffer(v.as_py(), dtype=np.uint64) for v in t["set"]]
+        sets = [np.frombuffer(v.as_py(), dtype=np.uint64) for v in t["set"]] if "set" in t.column_names else None
         found = cell_links(gid, n, side, _low(t["low8"]), sets, limit)
         if found:
             a, b = zip(*found, strict=True)
@@ -199,6 +206,35 @@ def _cells(limit: int):
     return run
 
 
+def _close(limit: int):
+    """Rows (a, b, n, m, low_a, low_b) -> the links (a, b) that hold by signature and size."""
+
+    def run(batches):
+        for t in batches:
+            if t.num_rows:
+                n, m = (t.column(i).to_numpy() for i in (2, 3))
+                near = (_low(t.column(4)) != _low(t.column(5))).sum(axis=1) <= FAR
+                near &= 100 * np.minimum(n, m) >= limit * np.maximum(n, m)
+                yield t.select([0, 1]).filter(pa.array(near))
+
+    return run
+
+
+def _dealt(nodes: DataFrame, group: str, cells: list[str]) -> DataFrame:
+    """nodes (group, blocks, gid, ...) -> rows (group, cell, side, ``cells``), those of a cell together.
+
+    Cell (x, y) with x <= y holds blocks x and y, so every pair of blocks, and every block by itself, has one."""
+    own = nodes.withColumn("side", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int"))
+    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.least("side", "other") * F.col("blocks") + F.greatest("side", "other")
+    return spread.select(group, cell.alias("cell"), "side", *cells).repartition(group, "cell").sortWithinPartitions(group, "cell", "gid")
+
+
+def _small(df: DataFrame, row: int) -> DataFrame:
+    """A written table, to be broadcast where its rows, of so many bytes each, take at most SMALL bytes."""
+    return F.broadcast(df) if df.count() * row <= SMALL else df
+
+
 def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
     """links (a, b) -> gid, label: the smallest node of each node's component."""
     both = scratch.table(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), f"{name}-links")
@@ -218,37 +254,69 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
             return labels
 
 
+def repeated_ids(rows: DataFrame) -> DataFrame:
+    """Ids that stand in several rows, and the null id."""
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1 or doc_id is null").select(F.col("doc_id").alias("__id"))
+
+
+def families_of(scratch: Scratch, groups: DataFrame, limit: int) -> DataFrame:
+    """gid, family: nodes that may be linked, by signature, and what they may be linked with."""
+    keyed = groups.select("gid", "sig").mapInArrow(_keys, "gid long, key long")
+    buckets = scratch.table(keyed.groupBy("key").agg(F.min("gid").alias("a"), F.max("gid").alias("b"), F.count(F.lit(1)).alias("k")).filter("k > 1"), "buckets")
+    large = scratch.table(buckets.filter("k > 2"), "large")
+    members = scratch.table(keyed.join(_small(large, 32), "key"), "members")
+    same = members.groupBy("key", "a", "b", "k").agg(F.bit_xor(F.xxhash64("gid")).alias("nodes")).groupBy("a", "b", "k", "nodes").agg(F.min("key").alias("key"))
+    kept = scratch.table(same.select("key", F.expr(f"cast((k - 1) div {BLOCK_NODES} + 1 as int)").alias("blocks")), "kept")
+    low = groups.select("gid", "n", "low8")
+    dealt = _dealt(members.select("key", "gid").join(_small(kept, 12), "key").join(low, "gid"), "key", ["gid", "n", "low8"])
+    links = dealt.mapInArrow(_cells(limit), "a long, b long")
+    pairs = buckets.filter("k = 2").select("a", "b").distinct()
+    pairs = pairs.join(low.select(F.col("gid").alias("a"), "n", F.col("low8").alias("low_a")), "a").join(low.select(F.col("gid").alias("b"), F.col("n").alias("m"), F.col("low8").alias("low_b")), "b")
+    links = links.unionByName(pairs.select("a", "b", "n", "m", "low_a", "low_b").mapInArrow(_close(limit), "a long, b long")).distinct()
+    links = scratch.table(links, "near")
+    for name in ("buckets", "large", "members", "kept"):
+        scratch.drop(name)
+    families = components(scratch, links, "families").withColumnRenamed("label", "family")
+    scratch.drop("near")
+    return families
+
+
 def groups_of(spark: SparkSession, docs: DataFrame, width: int, limit: int, text: str, doc_id: str, row=None) -> tuple[DataFrame, DataFrame]:
-    """Rows (row, doc_id, n, f1, f2) and sets of equal rows (f1, f2, n, gid, low, component_id)."""
+    """Rows (row, doc_id, n, f1, f2) and sets of equal rows (f1, f2, n, gid, low, label, component_id)."""
     scratch = Scratch(spark, "neardup")
-    slim = docs.select((F.monotonically_increasing_id() if row is None else row).alias("row"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("raw"))
-    rows = scratch.table(slim.mapInArrow(_measured(width, False), "row long, doc_id long, n long, f1 long, f2 long, sig binary, low8 binary"), "rows")
+    slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("raw"))
+    numbered = slim.select((F.monotonically_increasing_id() if row is None else row).alias("row"), "doc_id", "raw")
+    rows = scratch.table(numbered.mapInArrow(_measured(width, False), "row long, doc_id long, n long, f1 long, f2 long, sig binary, low8 binary"), "rows")
     groups = rows.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("row").alias("gid"), F.min("doc_id").alias("low"), F.first("sig").alias("sig"), F.first("low8").alias("low8"))
     groups = scratch.table(groups, "groups")
-    keyed = groups.select("gid", "sig").mapInArrow(_keys, "gid long, key long")
-    buckets = scratch.table(keyed.groupBy("key").agg(F.min("gid").alias("a"), F.max("gid").alias("b"), F.count(F.lit(1)).alias("k")).filter("k > 1"), "buckets")
-    members = keyed.join(buckets.filter("k > 2").select("key", "a"), "key").filter("gid <> a").select("a", F.col("gid").alias("b"))
-    star = scratch.table(buckets.filter("k = 2").select("a", "b").unionByName(members).distinct(), "star")
-    families = components(scratch, star, "families").withColumnRenamed("label", "family")
+    families = families_of(scratch, groups, limit)
     nodes = families.join(groups.select("gid", "low", "f1", "f2", "n", "low8"), "gid")
     blocks = nodes.groupBy("family").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("numbers"))
     blocks = blocks.select("family", F.greatest(F.expr(f"(k - 1) div {BLOCK_NODES} + 1"), F.expr(f"(numbers - 1) div {BLOCK_NUMBERS} + 1")).cast("int").alias("blocks"))
-    nodes = nodes.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int"))
-    nodes = scratch.table(nodes.select("gid", "family", "blocks", "own", F.col("low").alias("__low"), F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("gn"), "low8"), "nodes")
-    # Only texts of nodes in families are read again, each once; rows of other texts under the same id fall out.
-    again = docs.select(F.col(f"`{doc_id}`").cast("long").alias("__id"), F.col(f"`{text}`").cast("binary").alias("raw"))
-    again = again.join(nodes, again["__id"].eqNullSafe(nodes["__low"])).select("gid", "family", "blocks", "own", "g1", "g2", "gn", "low8", "raw")
-    sets = again.mapInArrow(_measured(width, True), "gid long, family long, blocks int, own int, g1 long, g2 long, gn long, low8 binary, n long, f1 long, f2 long, set binary")
-    sets = sets.filter("f1 = g1 and f2 = g2 and n = gn").select("gid", "family", "blocks", "own", "n", "low8", "set")
-    # Cell (x, y) with x <= y holds blocks x and y, so every pair of blocks, and every block by itself, has one.
-    spread = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cell = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
-    dealt = spread.select("family", cell.alias("cell"), F.col("own").alias("side"), "gid", "n", "low8", "set").repartition("family", "cell").sortWithinPartitions("family", "cell", "gid")
+    often = scratch.table(repeated_ids(rows), "often")
+    nodes = nodes.join(blocks, "family").join(often, F.col("low").eqNullSafe(F.col("__id")), "left").withColumn("once", F.col("low").isNotNull() & F.col("__id").isNull())
+    nodes = scratch.table(nodes.select("gid", "family", "blocks", "once", F.col("low").alias("__low"), "f1", "f2", "n", "low8"), "nodes")
+    # Only texts of nodes in families are read again: by their id where that stands in one row, else by their sets.
+    ids = scratch.table(nodes.filter("once").select("__low"), "ids")
+    wanted = _small(ids, 16)
+    found = slim if wanted is ids else slim.join(wanted, slim["doc_id"] == ids["__low"], "left_semi")
+    held = ["gid", "family", "blocks", "low8"]
+    kinds = "gid long, family long, blocks int, low8 binary"
+    found = found.join(_small(nodes.filter("once").select(*held, "__low"), 180), F.col("doc_id") == F.col("__low")).select(*held, "raw")
+    sets = found.mapInArrow(_measured(width, True), f"{kinds}, n long, f1 long, f2 long, set binary").select(*held, "n", "set")
+    if often.limit(1).count():
+        again = slim.join(_small(often, 16), slim["doc_id"].eqNullSafe(often["__id"]), "left_semi").select("raw").mapInArrow(_measured(width, True), "n long, f1 long, f2 long, set binary")
+        again = again.filter("n > 0").groupBy("f1", "f2", "n").agg(F.first("set").alias("set"))
+        sets = sets.unionByName(again.join(nodes.filter("not once").select(*held, "f1", "f2", "n"), ["f1", "f2", "n"]).select(*held, "n", "set"))
+    dealt = _dealt(sets, "family", ["gid", "n", "low8", "set"])
     links = scratch.table(dealt.mapInArrow(_cells(limit), "a long, b long"), "links")
     labels = components(scratch, links, "labels")
     named = groups.join(labels, "gid", "left").select("f1", "f2", "n", "gid", "low", F.coalesce("label", "gid").alias("label"))
     lowest = named.groupBy("label").agg(F.min("low").alias("component_id"))
-    return rows.select("row", "doc_id", "n", "f1", "f2"), scratch.table(named.join(lowest, "label"), "named")
+    named = scratch.table(named.join(lowest, "label"), "named")
+    for name in ("groups", "nodes", "ids", "often", "links"):
+        scratch.drop(name)
+    return rows.select("row", "doc_id", "n", "f1", "f2"), named
 
 
 def classes(spark: SparkSession, docs: DataFrame, width: int = 2, limit: int = 80, text: str = "text", doc_id: str = "doc_id", row=None) -> DataFrame:
@@ -264,18 +332,22 @@ def keep_one(spark: SparkSession, docs: DataFrame, width: int = 5, limit: int =
 
     The texts are not copied: documents are told apart by their ids, and only where an id stands in several rows or is
     null also by their sets, of which one row each stays."""
+    scratch = Scratch(spark, "dedup")
     rows, named = groups_of(spark, docs, width, limit, "text", "doc_id")
     found = rows.join(named.select("f1", "f2", "n", "label"), ["f1", "f2", "n"], "left")
-    best = found.filter("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "f1", "f2", "n")).alias("m")).select("m.doc_id", "m.f1", "m.f2", "m.n")
-    keep = Scratch(spark, "dedup").table(best.unionByName(found.filter("label is null").select("doc_id", "f1", "f2", "n")), "keep")
-    often = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1 or doc_id is null").select(F.col("doc_id").alias("__id"))
-    often = Scratch(spark, "dedup").table(often, "often")
-    once = keep.join(often, keep["doc_id"].eqNullSafe(often["__id"]), "left_anti").select(F.col("doc_id").alias("__id"))
-    out = docs.join(once, docs["doc_id"] == once["__id"], "left_semi")
+    best = found.filter("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "f1", "f2", "n")).alias("m")).select("m.doc_id", "m.f1", "m.f2", "m.n", "m.row")
+    often = scratch.table(repeated_ids(rows), "often")
+    # Documents that go: all that are not the best of their component.
+    gone = found.filter("label is not null").select("doc_id", "row").join(best.select("row"), "row", "left_anti")
+    gone = scratch.table(gone.select(F.col("doc_id").alias("__id")).distinct().filter("__id is not null"), "gone")
+    out = docs.join(_small(gone, 16), docs["doc_id"] == gone["__id"], "left_anti")
     if often.limit(1).count():
-        packed = docs.join(often, docs["doc_id"].eqNullSafe(often["__id"]), "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col("text").cast("binary").alias("raw"))
+        often_ids = _small(often, 16)
+        out = out.join(often_ids, out["doc_id"].eqNullSafe(often["__id"]), "left_anti")
+        packed = docs.join(often_ids, docs["doc_id"].eqNullSafe(often["__id"]), "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col("text").cast("binary").alias("raw"))
         kind = packed.schema["__doc"].dataType.simpleString()
         packed = packed.mapInArrow(_measured(width, False), f"__doc {kind}, n long, f1 long, f2 long, sig binary, low8 binary")
+        keep = best.select("doc_id", "f1", "f2", "n").unionByName(found.filter("label is null").select("doc_id", "f1", "f2", "n"))
         keys = keep.select(F.col("doc_id").alias("__id"), "f1", "f2", "n").distinct()
         held = packed.join(keys, ["f1", "f2", "n"]).filter(F.col("__doc.doc_id").eqNullSafe(F.col("__id")))
         first = Window.partitionBy("__id", "f1", "f2", "n").orderBy(F.col("__doc.text"))
