@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
+#: Bytes of a table that is still broadcast.
+SMALL = 48_000_000
+
 
 def words(text: Column) -> Column:
     """The words of a text in order; a null text has none."""
@@ -72,5 +75,10 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small(df: DataFrame, row: int) -> DataFrame:
+    """A written table, to be broadcast where its rows, of so many bytes each, take at most SMALL bytes."""
+    return F.broadcast(df) if df.count() * row <= SMALL else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -20,12 +20,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, words
+from .common import Scratch, small, table, words
 
 SEED = 77
 #: Blocks into which all words are cut.
 BLOCKS = 131_072
 LANE_ROWS = 500_000
+#: Bytes of a document's cuts, as far as the choice of a join needs them.
+CUT_BYTES = 120
 
 
 def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -97,13 +99,13 @@ def _plan(spark: SparkSession, sized: DataFrame, scratch: Scratch, blocks: int,
 
 def mix(spark: SparkSession, sized: DataFrame, blocks: int = BLOCKS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """sized: row (unique), doc_id, source, size. Gives the rows with source_size, target, taken, and the pieces
-    (row, lo, hi, times): words lo to hi - 1 of the document are taken so many times."""
+    (row, size, lo, hi, times): words lo to hi - 1 of the document are taken so many times."""
     scratch = Scratch(spark, "mixing")
     line, targets, won, b = _plan(spark, sized, scratch, blocks, seed)
     line = scratch.table(line, "starts")
     met = line.filter("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {b}, (start + size - 1) div {b})")))
     pieces = met.join(won, ["sid", "block"]).select(
-        "row", F.greatest(F.expr("first - start"), F.lit(0)).alias("lo"), F.least(F.expr("last - start"), F.col("size")).alias("hi"), "times",
+        "row", "size", F.greatest(F.expr("first - start"), F.lit(0)).alias("lo"), F.least(F.expr("last - start"), F.col("size")).alias("hi"), "times",
     ).filter("hi > lo")
     pieces = scratch.table(pieces, "pieces")
     taken = pieces.groupBy("row").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken"))
@@ -115,21 +117,27 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, **more) -> DataFrame:
     """The mix itself, in the columns of docs: each document once for every round in which some of its words are
     taken, its text cut to them (whole documents keep their text as it is); n_chars follows the text."""
     scratch = Scratch(spark, "mixed")
-    whole = scratch.table(docs.withColumn("__row", F.monotonically_increasing_id()), "docs")
-    sized = whole.select(F.col("__row").alias("row"), "doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
+    # Packed, so that no column of docs meets one of ours.
+    whole = docs.select(F.monotonically_increasing_id().alias("at"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    whole = scratch.table(whole, "docs")
+    sized = whole.select(F.col("at").alias("row"), "doc.doc_id", "doc.source", F.size(words(F.col("doc.text"))).cast("long").alias("size"))
     sized = scratch.table(sized, "sizes")
     _, pieces = mix(spark, sized, **more)
-    rounds = pieces.withColumn("round", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    cuts = rounds.groupBy(F.col("row").alias("__row"), F.col("round").alias("__round")).agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("__cuts"))
-    out = whole.join(cuts, "__row")
-    w = words(F.col("text"))
-    covered = F.aggregate("__cuts", F.lit(0).cast("long"), lambda a, c: a + c["hi"] - c["lo"])
-    cut = F.concat_ws(" ", F.transform("__cuts", lambda c: F.concat_ws(" ", F.slice(F.col("__words"), (c["lo"] + 1).cast("int"), (c["hi"] - c["lo"]).cast("int")))))
-    out = out.withColumn("__words", w)
-    out = out.withColumn("text", F.when(covered == F.size("__words"), F.col("text")).otherwise(cut))
+    cuts = pieces.groupBy("row", "size").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "times"))).alias("cuts"), F.max("times").cast("int").alias("rounds"))
+    cuts = scratch.table(cuts, "cuts")
+    out = whole.join(small(cuts, CUT_BYTES), F.col("at") == F.col("row"))
+    # A text is split once, and only where some round takes a part of it.
+    rounds = F.transform(F.sequence(F.lit(1), F.col("rounds")), lambda r: F.filter("cuts", lambda c: c["times"] >= r))
+    covered = lambda own: F.aggregate(own, F.lit(0).cast("long"), lambda a, c: a + c["hi"] - c["lo"])
+    out = out.withColumn("taken", rounds)
+    out = out.withColumn("w", F.when(F.exists("taken", lambda own: covered(own) < F.col("size")), words(F.col("doc.text"))))
+    part = lambda own: F.concat_ws(" ", F.transform(own, lambda c: F.concat_ws(" ", F.slice(F.col("w"), (c["lo"] + 1).cast("int"), (c["hi"] - c["lo"]).cast("int")))))
+    texts = F.transform("taken", lambda own: F.when(covered(own) == F.col("size"), F.col("doc.text")).otherwise(part(own)))
+    out = out.select("doc", F.explode(texts).alias("cut"))
+    new = {"text": F.col("cut")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("cut").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

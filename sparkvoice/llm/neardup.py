@@ -11,8 +11,8 @@ Texts with equal sets are one node from the start. The nodes with the same key a
 same nodes one is kept. A bucket's nodes are dealt into cells of bounded size so that every two of them meet in a cell,
 and a cell gives the links by longer signature that connect its nodes, not all of them. The components of these links
 are families; only texts of nodes in families are read again. A family's nodes are dealt into cells in the same way,
-with their whole sets, and its cells give connecting links by exact set similarity. Components come from rounds of
-smallest labels with pointer jumping, all as tables. What is broadcast is counted first; beyond ``SMALL`` bytes it is
+with their whole sets, and its cells give connecting links by exact set similarity. Components come from rounds
+that contract links, all as tables. What is broadcast is counted first; beyond ``common.SMALL`` bytes it is
 joined by a shuffle.
 
 Defined cases: words are lower-cased in A-Z and compared as bytes; a text with fewer words than a shingle is one
@@ -29,15 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, small, table
 
 CHUNKS, WIDTH = 15, 5
 SYMBOLS = CHUNKS * WIDTH
 FILTER, FAR = 128, 49
 #: Nodes of a block and the numbers in their sets; two blocks at most meet in a cell.
 BLOCK_NODES, BLOCK_NUMBERS = 4096, 6_000_000
-#: Bytes of a table that is still broadcast, by its rows.
-SMALL = 48_000_000
 MEMO = 400_000
 #: Odd multipliers, fixed by a seed.
 _RNG = np.random.default_rng(20240229)
@@ -147,29 +145,40 @@ def cell_links(gid: np.ndarray, n: np.ndarray, side: np.ndarray, low: np.ndarray
     hub = -1
     out = []
 
-    def holds(i: int, j: int) -> bool:
-        return sets is None or _linked(sets[i], sets[j], limit)
-
     def link(i: int, j: int) -> None:
         out.append((int(min(gid[j], gid[i])), int(max(gid[j], gid[i]))))
         root[root == root[i]] = root[j]
 
+    def near(i: int, among: np.ndarray) -> np.ndarray:
+        return (low[among] != low[i]).sum(axis=1)
+
     for i in range(1, len(gid)):
         fit = np.flatnonzero((100 * np.minimum(n[:i], n[i]) >= limit * np.maximum(n[:i], n[i])) & ((side[:i] != side[i]) | (not two)))
+        if sets is None:
+            # The smallest node that is close, so that all buckets of a family give the same links.
+            lo = 0
+            while lo < len(fit):
+                part = fit[lo : lo + 64]
+                part = part[root[part] != root[i]]
+                hit = part[near(i, part) <= FAR][:1]
+                if len(hit):
+                    link(i, int(hit[0]))
+                lo = lo if len(hit) else lo + 64
+            continue
         # The node that others were linked to last is asked first, which spares most of a large component a look.
         at = np.searchsorted(fit, hub)
-        if at < len(fit) and fit[at] == hub and (low[hub] != low[i]).sum() <= FAR and holds(hub, i):
+        if at < len(fit) and fit[at] == hub and (low[hub] != low[i]).sum() <= FAR and _linked(sets[hub], sets[i], limit):
             link(i, hub)
         while len(fit):
             # The closest by signature first: once connected, the rest of a component needs no look.
             fit = fit[root[fit] != root[i]]
-            far = (low[fit] != low[i]).sum(axis=1)
+            far = near(i, fit)
             fit, far = fit[far <= FAR], far[far <= FAR]
-            hit = next((j for j in fit[np.argsort(far, kind="stable")] if holds(j, i)), None)
-            if hit is None:
+            found = next((j for j in fit[np.argsort(far, kind="stable")] if _linked(sets[j], sets[i], limit)), None)
+            if found is None:
                 break
-            link(i, hit)
-            hub = int(hit)
+            link(i, found)
+            hub = int(found)
     return out
 
 
@@ -230,28 +239,28 @@ def _dealt(nodes: DataFrame, group: str, cells: list[str]) -> DataFrame:
     return spread.select(group, cell.alias("cell"), "side", *cells).repartition(group, "cell").sortWithinPartitions(group, "cell", "gid")
 
 
-def _small(df: DataFrame, row: int) -> DataFrame:
-    """A written table, to be broadcast where its rows, of so many bytes each, take at most SMALL bytes."""
-    return F.broadcast(df) if df.count() * row <= SMALL else df
-
-
 def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
-    """links (a, b) -> gid, label: the smallest node of each node's component."""
-    both = scratch.table(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), f"{name}-links")
-    labels = scratch.table(both.groupBy(F.col("a").alias("gid")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{name}-0")
-    i = 0
-    while True:
-        near = both.join(labels.select(F.col("gid").alias("b"), "label"), "b").groupBy(F.col("a").alias("gid")).agg(F.min("label").alias("low"))
-        step = labels.join(near, "gid").select("gid", "label", F.least("label", "low").alias("low"))
-        ahead = labels.select(F.col("gid").alias("low"), F.col("label").alias("jump"))
-        step = step.join(ahead, "low").select("gid", F.least("low", "jump").alias("label"), (F.least("low", "jump") < F.col("label")).alias("moved"))
+    """links (a, b) -> gid, label: one node of each node's component.
+
+    A round gives every node the first of itself and its neighbours, in order of ids and of round by round hashes by
+    turns, and goes on with the links between what was given, so that links become fewer with every round."""
+    edges = scratch.table(links.filter("a <> b").select("a", "b").distinct(), f"{name}-0")
+    labels, i = edges.select(F.col("a").alias("gid"), F.col("a").alias("label")).limit(0), 0
+    while edges.limit(1).count():
+        rank = (lambda c, i=i: F.struct(F.xxhash64(F.lit(i), c).alias("h"), c.alias("node"))) if i % 2 else (lambda c: F.struct(F.lit(0).alias("h"), c.alias("node")))
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("m")).select(F.col("a").alias("node"), F.least(rank(F.col("a")), F.col("m"))["node"].alias("up"))
+        up = scratch.table(up, f"{name}-up-{i}")
+        labels = up.select(F.col("node").alias("gid"), F.col("up").alias("label")) if i == 0 else labels.join(up, F.col("label") == F.col("node"), "left").select("gid", F.coalesce("up", "label").alias("label"))
+        moved = edges.join(up.select(F.col("node").alias("a"), F.col("up").alias("x")), "a").join(up.select(F.col("node").alias("b"), F.col("up").alias("y")), "b").filter("x <> y")
         i += 1
-        new = scratch.table(step, f"{name}-{i}")
-        done = new.filter("moved").limit(1).count() == 0
+        new = scratch.table(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{name}-{i}")
         scratch.drop(f"{name}-{i - 1}")
-        labels = new.select("gid", "label")
-        if done:
-            return labels
+        edges = new
+    labels = scratch.table(labels, name)
+    for k in range(i):
+        scratch.drop(f"{name}-up-{k}")
+    return labels
 
 
 def repeated_ids(rows: DataFrame) -> DataFrame:
@@ -264,11 +273,11 @@ def families_of(scratch: Scratch, groups: DataFrame, limit: int) -> DataFrame:
     keyed = groups.select("gid", "sig").mapInArrow(_keys, "gid long, key long")
     buckets = scratch.table(keyed.groupBy("key").agg(F.min("gid").alias("a"), F.max("gid").alias("b"), F.count(F.lit(1)).alias("k")).filter("k > 1"), "buckets")
     large = scratch.table(buckets.filter("k > 2"), "large")
-    members = scratch.table(keyed.join(_small(large, 32), "key"), "members")
+    members = scratch.table(keyed.join(small(large, 32), "key"), "members")
     same = members.groupBy("key", "a", "b", "k").agg(F.bit_xor(F.xxhash64("gid")).alias("nodes")).groupBy("a", "b", "k", "nodes").agg(F.min("key").alias("key"))
     kept = scratch.table(same.select("key", F.expr(f"cast((k - 1) div {BLOCK_NODES} + 1 as int)").alias("blocks")), "kept")
     low = groups.select("gid", "n", "low8")
-    dealt = _dealt(members.select("key", "gid").join(_small(kept, 12), "key").join(low, "gid"), "key", ["gid", "n", "low8"])
+    dealt = _dealt(members.select("key", "gid").join(small(kept, 12), "key").join(low, "gid"), "key", ["gid", "n", "low8"])
     links = dealt.mapInArrow(_cells(limit), "a long, b long")
     pairs = buckets.filter("k = 2").select("a", "b").distinct()
     pairs = pairs.join(low.select(F.col("gid").alias("a"), "n", F.col("low8").alias("low_a")), "a").join(low.select(F.col("gid").alias("b"), F.col("n").alias("m"), F.col("low8").alias("low_b")), "b")
@@ -298,14 +307,14 @@ def groups_of(spark: SparkSession, docs: DataFrame, width: int, limit: int, text
     nodes = scratch.table(nodes.select("gid", "family", "blocks", "once", F.col("low").alias("__low"), "f1", "f2", "n", "low8"), "nodes")
     # Only texts of nodes in families are read again: by their id where that stands in one row, else by their sets.
     ids = scratch.table(nodes.filter("once").select("__low"), "ids")
-    wanted = _small(ids, 16)
+    wanted = small(ids, 16)
     found = slim if wanted is ids else slim.join(wanted, slim["doc_id"] == ids["__low"], "left_semi")
     held = ["gid", "family", "blocks", "low8"]
     kinds = "gid long, family long, blocks int, low8 binary"
-    found = found.join(_small(nodes.filter("once").select(*held, "__low"), 180), F.col("doc_id") == F.col("__low")).select(*held, "raw")
+    found = found.join(small(nodes.filter("once").select(*held, "__low"), 180), F.col("doc_id") == F.col("__low")).select(*held, "raw")
     sets = found.mapInArrow(_measured(width, True), f"{kinds}, n long, f1 long, f2 long, set binary").select(*held, "n", "set")
     if often.limit(1).count():
-        again = slim.join(_small(often, 16), slim["doc_id"].eqNullSafe(often["__id"]), "left_semi").select("raw").mapInArrow(_measured(width, True), "n long, f1 long, f2 long, set binary")
+        again = slim.join(small(often, 16), slim["doc_id"].eqNullSafe(often["__id"]), "left_semi").select("raw").mapInArrow(_measured(width, True), "n long, f1 long, f2 long, set binary")
         again = again.filter("n > 0").groupBy("f1", "f2", "n").agg(F.first("set").alias("set"))
         sets = sets.unionByName(again.join(nodes.filter("not once").select(*held, "f1", "f2", "n"), ["f1", "f2", "n"]).select(*held, "n", "set"))
     dealt = _dealt(sets, "family", ["gid", "n", "low8", "set"])
@@ -340,9 +349,9 @@ def keep_one(spark: SparkSession, docs: DataFrame, width: int = 5, limit: int =
     # Documents that go: all that are not the best of their component.
     gone = found.filter("label is not null").select("doc_id", "row").join(best.select("row"), "row", "left_anti")
     gone = scratch.table(gone.select(F.col("doc_id").alias("__id")).distinct().filter("__id is not null"), "gone")
-    out = docs.join(_small(gone, 16), docs["doc_id"] == gone["__id"], "left_anti")
+    out = docs.join(small(gone, 16), docs["doc_id"] == gone["__id"], "left_anti")
     if often.limit(1).count():
-        often_ids = _small(often, 16)
+        often_ids = small(often, 16)
         out = out.join(often_ids, out["doc_id"].eqNullSafe(often["__id"]), "left_anti")
         packed = docs.join(often_ids, docs["doc_id"].eqNullSafe(often["__id"]), "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col("text").cast("binary").alias("raw"))
         kind = packed.schema["__doc"].dataType.simpleString()

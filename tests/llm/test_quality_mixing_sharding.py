@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkvoice.llm import mixing, quality, sharding
 
@@ -188,3 +189,37 @@ def test_small_sources_meet_their_targets_in_large_blocks(spark):
             assert 0 <= r["lo"] < r["hi"] <= rows[r["row"]][1]
             words[r["row"]] += (r["hi"] - r["lo"]) * r["times"]
         assert all(words[i] == n for i, n in of_row.items())
+
+
+def test_mixed_documents_against_brute_force(spark):
+    """Clashing columns, nulls, ties, repeated rows and a very long text; every text is made of the words taken."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(rng.randrange(0, 30))), f"s{i % 4}", 7, 8) for i in range(60)]
+    rows += [(100, None, "s0", 7, 8), (101, " \n", None, 7, 8), (None, "a b c", None, 7, 8), (3, rows[3][1], "s3", 7, 8), (200, "long " * 20_000, "s9", 7, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, row long, cuts long")
+    out = [tuple(r) for r in mixing.mixed_documents(spark, df, blocks=50).collect()]
+    assert all(r[3:] == (7, 8) for r in out)
+    sized = df.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", F.size(mixing.words(F.col("text"))).cast("long").alias("size"))
+    lines, pieces = mixing.mix(spark, sized, blocks=50)
+    where = {r["row"]: r for r in lines.collect()}
+    # Rows of one file come in order here, so the words of a row are known by its place.
+    texts = {r["row"]: t for r, t in zip(sized.collect(), [(t or "").split() for _, t, *_ in rows])}
+    want = Counter()
+    taken = Counter()
+    cuts = {}
+    for p in pieces.collect():
+        cuts.setdefault(p["row"], []).append((p["lo"], p["hi"], p["times"]))
+        taken[p["row"]] += (p["hi"] - p["lo"]) * p["times"]
+    assert {k: v["taken"] for k, v in where.items() if v["taken"]} == dict(taken)
+    for row, held in cuts.items():
+        for r in range(1, max(c[2] for c in held) + 1):
+            ws = [w for lo, hi, times in sorted(held) if times >= r for w in texts[row][lo:hi]]
+            want[(where[row]["doc_id"], tuple(ws))] += 1
+    assert Counter((r[0], tuple(r[1].split())) for r in out) == want
+    source = {r["row"]: r["source"] for r in sized.collect()}
+    sizes, targets = Counter(), {}
+    for r in where.values():
+        sizes[source[r["row"]]] += r["taken"]
+        targets[source[r["row"]]] = r["target"]
+    assert {s: (v, targets[s]) for s, v in sizes.items() if abs(v - targets[s]) > 0.5 + 1e-9} == {}
+    assert mixing.mixed_documents(spark, df.limit(0)).count() == 0
