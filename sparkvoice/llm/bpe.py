@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 
 #: Words that a worker remembers before it starts afresh, and characters of text that it takes at a time.
 CACHE = 400_000
@@ -232,10 +232,11 @@ def digests(spark: SparkSession, docs: DataFrame, path: str, text: str = "text",
             rows = codec.digests([t or "" for t in batch.column(1).to_pylist()])
             n, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        codec.words.clear()
 
     slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return slim.mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(spark: SparkSession, docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,5 +82,26 @@ def small(df: DataFrame, row: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row <= SMALL else df
 
 
+def give_back() -> None:
+    """Return memory that this process no longer uses, so that waiting workers leave it to others."""
+    pa.default_memory_pool().release_unused()
+    # Only glibc has this call.
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run, rows: int = 1000):
+    """run, for mapInArrow: it gets batches of at most so many rows, and gives back memory when its task ends."""
+
+    def tidied(batches):
+        try:
+            yield from run(b.slice(lo, rows) for b in batches for lo in range(0, max(1, b.num_rows), rows))
+        finally:
+            give_back()
+
+    return tidied
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

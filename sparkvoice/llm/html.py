@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 
 #: Element names of HTML by their part in a page, and words that name boilerplate in class, id or role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -313,7 +313,7 @@ def main_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("pa
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 
     kinds = ", ".join(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in keep)
-    return slim.mapInArrow(run, f"{kinds}, text string, n_chars long")
+    return slim.mapInArrow(tidy(run), f"{kinds}, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

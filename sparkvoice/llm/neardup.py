@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, small, table
+from .common import Scratch, small, table, tidy
 
 CHUNKS, WIDTH = 15, 5
 SYMBOLS = CHUNKS * WIDTH
@@ -270,7 +270,7 @@ def repeated_ids(rows: DataFrame) -> DataFrame:
 
 def families_of(scratch: Scratch, groups: DataFrame, limit: int) -> DataFrame:
     """gid, family: nodes that may be linked, by signature, and what they may be linked with."""
-    keyed = groups.select("gid", "sig").mapInArrow(_keys, "gid long, key long")
+    keyed = groups.select("gid", "sig").mapInArrow(tidy(_keys), "gid long, key long")
     buckets = scratch.table(keyed.groupBy("key").agg(F.min("gid").alias("a"), F.max("gid").alias("b"), F.count(F.lit(1)).alias("k")).filter("k > 1"), "buckets")
     large = scratch.table(buckets.filter("k > 2"), "large")
     members = scratch.table(keyed.join(small(large, 32), "key"), "members")
@@ -278,10 +278,10 @@ def families_of(scratch: Scratch, groups: DataFrame, limit: int) -> DataFrame:
     kept = scratch.table(same.select("key", F.expr(f"cast((k - 1) div {BLOCK_NODES} + 1 as int)").alias("blocks")), "kept")
     low = groups.select("gid", "n", "low8")
     dealt = _dealt(members.select("key", "gid").join(small(kept, 12), "key").join(low, "gid"), "key", ["gid", "n", "low8"])
-    links = dealt.mapInArrow(_cells(limit), "a long, b long")
+    links = dealt.mapInArrow(tidy(_cells(limit)), "a long, b long")
     pairs = buckets.filter("k = 2").select("a", "b").distinct()
     pairs = pairs.join(low.select(F.col("gid").alias("a"), "n", F.col("low8").alias("low_a")), "a").join(low.select(F.col("gid").alias("b"), F.col("n").alias("m"), F.col("low8").alias("low_b")), "b")
-    links = links.unionByName(pairs.select("a", "b", "n", "m", "low_a", "low_b").mapInArrow(_close(limit), "a long, b long")).distinct()
+    links = links.unionByName(pairs.select("a", "b", "n", "m", "low_a", "low_b").mapInArrow(tidy(_close(limit)), "a long, b long")).distinct()
     links = scratch.table(links, "near")
     for name in ("buckets", "large", "members", "kept"):
         scratch.drop(name)
@@ -295,7 +295,7 @@ def groups_of(spark: SparkSession, docs: DataFrame, width: int, limit: int, text
     scratch = Scratch(spark, "neardup")
     slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("raw"))
     numbered = slim.select((F.monotonically_increasing_id() if row is None else row).alias("row"), "doc_id", "raw")
-    rows = scratch.table(numbered.mapInArrow(_measured(width, False), "row long, doc_id long, n long, f1 long, f2 long, sig binary, low8 binary"), "rows")
+    rows = scratch.table(numbered.mapInArrow(tidy(_measured(width, False)), "row long, doc_id long, n long, f1 long, f2 long, sig binary, low8 binary"), "rows")
     groups = rows.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("row").alias("gid"), F.min("doc_id").alias("low"), F.first("sig").alias("sig"), F.first("low8").alias("low8"))
     groups = scratch.table(groups, "groups")
     families = families_of(scratch, groups, limit)
@@ -312,13 +312,13 @@ def groups_of(spark: SparkSession, docs: DataFrame, width: int, limit: int, text
     held = ["gid", "family", "blocks", "low8"]
     kinds = "gid long, family long, blocks int, low8 binary"
     found = found.join(small(nodes.filter("once").select(*held, "__low"), 180), F.col("doc_id") == F.col("__low")).select(*held, "raw")
-    sets = found.mapInArrow(_measured(width, True), f"{kinds}, n long, f1 long, f2 long, set binary").select(*held, "n", "set")
+    sets = found.mapInArrow(tidy(_measured(width, True)), f"{kinds}, n long, f1 long, f2 long, set binary").select(*held, "n", "set")
     if often.limit(1).count():
-        again = slim.join(small(often, 16), slim["doc_id"].eqNullSafe(often["__id"]), "left_semi").select("raw").mapInArrow(_measured(width, True), "n long, f1 long, f2 long, set binary")
+        again = slim.join(small(often, 16), slim["doc_id"].eqNullSafe(often["__id"]), "left_semi").select("raw").mapInArrow(tidy(_measured(width, True)), "n long, f1 long, f2 long, set binary")
         again = again.filter("n > 0").groupBy("f1", "f2", "n").agg(F.first("set").alias("set"))
         sets = sets.unionByName(again.join(nodes.filter("not once").select(*held, "f1", "f2", "n"), ["f1", "f2", "n"]).select(*held, "n", "set"))
     dealt = _dealt(sets, "family", ["gid", "n", "low8", "set"])
-    links = scratch.table(dealt.mapInArrow(_cells(limit), "a long, b long"), "links")
+    links = scratch.table(dealt.mapInArrow(tidy(_cells(limit)), "a long, b long"), "links")
     labels = components(scratch, links, "labels")
     named = groups.join(labels, "gid", "left").select("f1", "f2", "n", "gid", "low", F.coalesce("label", "gid").alias("label"))
     lowest = named.groupBy("label").agg(F.min("low").alias("component_id"))
@@ -355,7 +355,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, width: int = 5, limit: int =
         out = out.join(often_ids, out["doc_id"].eqNullSafe(often["__id"]), "left_anti")
         packed = docs.join(often_ids, docs["doc_id"].eqNullSafe(often["__id"]), "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col("text").cast("binary").alias("raw"))
         kind = packed.schema["__doc"].dataType.simpleString()
-        packed = packed.mapInArrow(_measured(width, False), f"__doc {kind}, n long, f1 long, f2 long, sig binary, low8 binary")
+        packed = packed.mapInArrow(tidy(_measured(width, False)), f"__doc {kind}, n long, f1 long, f2 long, sig binary, low8 binary")
         keep = best.select("doc_id", "f1", "f2", "n").unionByName(found.filter("label is null").select("doc_id", "f1", "f2", "n"))
         keys = keep.select(F.col("doc_id").alias("__id"), "f1", "f2", "n").distinct()
         held = packed.join(keys, ["f1", "f2", "n"]).filter(F.col("__doc.doc_id").eqNullSafe(F.col("__id")))

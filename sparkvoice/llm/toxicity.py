@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_crc, table
+from .common import Scratch, give_back, id_crc, table, tidy
 
 #: Examples of each class and characters in all examples; word beginnings in the space; longer words in bytes go by a digest.
 EXAMPLES, LETTERS, STEMMED, TERM_BYTES = 4096, 48_000_000, 1024, 64
@@ -109,14 +109,14 @@ class Index:
         self.rows[self.row[self.terms[held]], places[held]] = self.values[held]
         self.edges = np.arange(0, n, BLOCK)
         by = np.argsort(self.terms[~held], kind="stable")
-        self.places, self.weighed, terms = places[~held][by], self.values[~held][by], self.terms[~held][by]
+        self.places, self.weighed, terms = places[~held][by].astype(np.int32), self.values[~held][by], self.terms[~held][by]
         block = self.places // BLOCK
         # An entry is a term in a block: a run of postings and the largest weight in it.
         first = np.flatnonzero((np.diff(terms, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
-        self.cuts = np.append(first, len(terms))
+        self.cuts = np.append(first, len(terms)).astype(np.int32)
         self.peaks = np.maximum.reduceat(self.weighed, first) if len(first) else np.zeros(0)
         self.blocks = block[first]
-        self.lists = np.concatenate([[0], np.cumsum(np.bincount(terms[first], minlength=v))]).astype(np.int64)
+        self.lists = np.concatenate([[0], np.cumsum(np.bincount(terms[first], minlength=v))]).astype(np.int32)
 
     def __getstate__(self):
         # What is broadcast leaves out all that follows from the rest.
@@ -127,6 +127,9 @@ class Index:
         self.__dict__.update(pickle.loads(zlib.decompress(packed)))
         self._weigh()
         self._invert()
+        # Searches need the inverted form only.
+        del self.terms, self.counts, self.values
+        give_back()
 
     def weights(self, terms: np.ndarray, counts) -> np.ndarray:
         """Unit vector of a text; every term of the space has a positive idf."""
@@ -321,7 +324,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "te
     seen = np.zeros(len(terms) + 1)
     if terms:
         slim = docs.select(F.col(f"`{text}`").alias("text"))
-        totals = slim.mapInArrow(frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+        totals = slim.mapInArrow(tidy(frequencies), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
         seen[totals.column("term").to_numpy()] = totals.column("df").to_numpy()
     idf = (np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1) * factors
     vectors = [space.counts(r["text"]) for r in rows]
@@ -374,7 +377,7 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "
 
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__doc"), F.col(f"`{text}`").alias("__text"))
     kind = packed.schema["__doc"].dataType.simpleString()
-    return packed.mapInArrow(run, f"__doc {kind}, __score double, __predicted int, __evidence array<struct<doc_id:bigint,cosine:double,toxic:int>>")
+    return packed.mapInArrow(tidy(run), f"__doc {kind}, __score double, __predicted int, __evidence array<struct<doc_id:bigint,cosine:double,toxic:int>>")
 
 
 def reject(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
