@@ -1,8 +1,9 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree. Every paragraph has points for its length and commas; it passes them to its ancestors, less the
-farther they are, and an ancestor's sum is discounted by the share of its text inside links. The best container and
-those of its siblings that score well are kept; boilerplate elements (by element, role or class) are left out first.
+farther they are, and an ancestor's sum is discounted by the share of its text inside links; elements that mark an
+article get a bonus. The best container, or the parent that holds it with its other parts, and those of its siblings
+that score well are kept; boilerplate elements (by element, role or class) are left out first.
 
 Defined cases: null or empty html gives an empty text; broken markup is closed as browsers would; a page without any
 paragraph gives what text remains; repeated rows are treated one by one; an empty table gives an empty table; other
@@ -54,17 +55,24 @@ SCOPE = frozenset("table td th caption button object html body".split())
 #: Elements nested deeper are taken as part of the one at this depth, as browsers do.
 DEEPEST = 512
 
-TAG = re.compile(r"<(?:!--(?P<c>.*?)(?:-->|--!>|\Z)|(?P<x>[!?][^>]*>?)|(?P<e>/?)(?P<n>[a-zA-Z][^\s/>]*)(?P<a>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>)", re.S)
+#: The rates of containers that say what they are count so much more; a parent that reaches this share of its best
+#: child's rate, or adds at most that share of text, is the container in its place.
+BONUS = {"article": 2.0, "main": 1.5}
+CLIMB, ADDED = 0.75, 0.25
+
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: What stands in a tag up to its end, or to a quote that is never closed.
+INSIDE = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "score", "main", "depth", "article")
+    __slots__ = ("tag", "parent", "items", "score", "bonus", "depth", "article")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.items = tag, parent, []
-        self.score, self.main = 0.0, False
+        self.score, self.bonus = 0.0, 1.0
         self.depth = parent.depth + 1 if parent else 0
         self.article = tag in ("article", "main") or parent is not None and parent.article
 
@@ -94,26 +102,63 @@ def boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+class Scanner:
+    """The tags of a page, each found in time that does not depend on how the rest is broken."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.blind = page, page.rfind(">"), False
+
+    def _end(self, at: int) -> int:
+        """Where the tag whose name ends at ``at`` ends. After quotes have swallowed all of the page once, they count no more."""
+        page = self.page
+        while not self.blind:
+            at = INSIDE.match(page, at).end()
+            if at == len(page):
+                self.blind = True
+            elif page[at] == ">":
+                return at
+            else:
+                at += 1
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str | None, bool, str]:
+        """Start, end, name (None for comments and declarations), whether it ends an element, and attributes of the
+        next tag; the page's length twice where there is none."""
+        page = self.page
+        lt = page.find("<", at)
+        while lt >= 0:
+            if page.startswith("<!--", lt):
+                ends = [e for e in (page.find("-->", lt + 4), page.find("--!>", lt + 4)) if e >= 0]
+                return lt, page.index(">", min(ends)) + 1 if ends else len(page), None, False, ""
+            if page[lt + 1 : lt + 2] in ("!", "?"):
+                e = page.find(">", lt)
+                return lt, e + 1 if e >= 0 else len(page), None, False, ""
+            m = NAME.match(page, lt + 1)
+            if m and self.last >= m.end():
+                e = self._end(m.end())
+                e = e if e >= 0 else page.index(">", m.end())
+                return lt, e + 1, m[2], bool(m[1]), page[m.end() : e]
+            lt = page.find("<", lt + 1)
+        return len(page), len(page), None, False, ""
+
+
 def parse(page: str) -> Node:
     """The tree of a page without boilerplate elements. Items of a node are nodes and texts."""
     root = Node("#root", None)
     node, dropped, at = root, None, 0
     # dropped: the names of open elements inside one that is left out. deep: elements that are open beyond DEEPEST.
     deep: dict[str, int] = {}
-    find, end = TAG.search, len(page)
+    scanner, end = Scanner(page), len(page)
     while at < end:
-        m = find(page, at)
-        text = page[at : m.start()] if m else page[at:]
+        start, stop, name, closes, attributes = scanner.next(at)
+        text = page[at:start]
         if text and not dropped:
             node.items.append(text)
-        if not m:
-            break
-        at = m.end()
-        name = m["n"]
+        at = stop
         if name is None:
             continue
         tag = name.lower()
-        if m["e"]:
+        if closes:
             if dropped:
                 if tag in dropped:
                     while dropped.pop() != tag:
@@ -139,7 +184,6 @@ def parse(page: str) -> Node:
             elif tag == "br":
                 node.items.append(" ")
             continue
-        attributes = m["a"]
         closed = tag in VOID
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
@@ -180,7 +224,7 @@ def parse(page: str) -> Node:
             continue
         child = Node(tag, node)
         low = attributes.lower()
-        child.main = tag in ("article", "main") or "articlebody" in low or "role=\"main\"" in low
+        child.bonus = BONUS["article"] if tag == "article" or "articlebody" in low else BONUS["main"] if tag == "main" or 'role="main"' in low else 1.0
         node.items.append(child)
         node = child
     return root
@@ -263,24 +307,15 @@ def extract(page: str | None) -> str:
             x = x.parent
     if not scored:
         return "\n".join(t for _, t, linked in found if linked < 0.5 * len(t) or linked == 0)
-    rate = lambda n: n.score * (1 - sums[id(n)][1] / max(1, sums[id(n)][0]))
+    rate = lambda n: n.bonus * n.score * (1 - sums[id(n)][1] / max(1, sums[id(n)][0]))
     best = max(scored.values(), key=rate)
-    # An element that marks the article itself is the container as a whole.
-    x = best
-    while x is not None:
-        if x.main:
-            best = x
-            if x.tag == "article":
-                break
-        x = x.parent
-    # A parent in which most of the remaining score lies in other children holds the article in parts.
-    while not best.main and best.parent is not None and best.parent.tag not in ("body", "html", "#root"):
-        parent = best.parent
-        inside, whole = sums[id(best)][0], sums[id(parent)][0]
-        if rate(parent) >= 0.3 * rate(best) and inside < 0.8 * whole and sums[id(parent)][1] < 0.2 * whole:
+    # A parent that scores nearly as well holds the article in parts; one that adds little text holds its headings.
+    parent = best.parent
+    while parent is not None and parent.tag not in ("body", "html", "#root"):
+        inside, whole = sums[id(best)][0], sums[id(parent)]
+        if rate(parent) >= CLIMB * rate(best) or whole[0] - inside <= ADDED * whole[0] and whole[1] < 0.3 * whole[0]:
             best = parent
-        else:
-            break
+        parent = parent.parent if best is parent else None
     kept = {id(best)}
     if best.parent is not None:
         least = max(10.0, 0.2 * rate(best))
@@ -289,7 +324,7 @@ def extract(page: str | None) -> str:
                 length, linked, _ = sums[id(sibling)]
                 if id(sibling) in scored and rate(sibling) >= least:
                     kept.add(id(sibling))
-                elif sibling.tag == "p" and not best.main and linked < 0.25 * length and length > 80:
+                elif sibling.tag == "p" and best.bonus == 1 and linked < 0.25 * length and length > 80:
                     kept.add(id(sibling))
     out = []
     for holder, text, linked in found:

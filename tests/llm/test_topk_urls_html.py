@@ -1,4 +1,7 @@
+import itertools
 import math
+import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -139,3 +142,48 @@ def test_html_odd_input(spark):
     df = spark.createDataFrame([(1, None, None, "a"), (2, "u", f"<p>{'x' * 30}</p>", "b"), (2, "u", f"<p>{'x' * 30}</p>", "b")], "page_id long, url string, html string, text string")
     assert Counter(map(tuple, html.main_text(df).collect())) == Counter([(1, None, "", 0), (2, "u", "x" * 30, 30), (2, "u", "x" * 30, 30)])
     assert html.main_text(df.limit(0)).count() == 0
+
+
+def test_html_scores_choose_the_container():
+    """The text lies outside the only article element, which is a short teaser."""
+    decoy = "<article><h3>Read next</h3><p>A teaser, short as it is, of another page.</p></article>"
+    prose = "".join(f"<p>Paragraph {i} of the text, with commas, with clauses, and with more than enough words to score well.</p>" for i in range(6))
+    out = html.extract(f"<html><body><div class=x>{prose}</div><div class=y>{decoy}</div></body></html>")
+    assert out == "\n".join(f"Paragraph {i} of the text, with commas, with clauses, and with more than enough words to score well." for i in range(6))
+    links = "".join(f"<li><a href={i}>A long link, with commas, to another page of this site, number {i}</a></li>" for i in range(30))
+    assert html.extract(f"<div><ul>{links}</ul></div><div>{prose}</div>") == out
+
+
+def test_html_container_against_brute_force():
+    rng = random.Random(12)
+    for _ in range(200):
+        divs = []
+        for d in range(rng.randint(1, 5)):
+            ps = []
+            for k in range(rng.randint(1, 5)):
+                words_ = " ".join(f"w{d}x{k}y{j}" + rng.choice(["", "", ","]) for j in range(rng.randint(1, 40)))
+                ps.append((words_, rng.random() < 0.2))
+            divs.append(ps)
+        page = "<html><body>" + "".join("<div>" + "".join(f"<p><a href=x>{t}</a></p>" if a else f"<p>{t}</p>" for t, a in ps) + "</div>" for ps in divs) + "</body></html>"
+        points = [sum(1 + t.count(",") + min(len(t) / 100, 3.0) for t, _ in ps if len(t) >= 25) for ps in divs]
+        whole, linked = [sum(len(t) for t, _ in ps) for ps in divs], [sum(len(t) for t, a in ps if a) for ps in divs]
+        if not any(points):
+            continue
+        menu = [len(ps) >= 2 and k > 0.66 * n for ps, n, k in zip(divs, whole, linked)]
+        rate = [p * (1 - k / n) for p, n, k in zip(points, whole, linked)]
+        body = 0.5 * sum(points) * (1 - sum(linked) / sum(whole))
+        if any(abs(a - b) < 1e-9 for a, b in itertools.combinations([*[r for r, p in zip(rate, points) if p], body], 2)):
+            continue
+        if body > max(rate):
+            kept = [not m for m in menu]
+        else:
+            least = max(10.0, 0.2 * max(rate))
+            kept = [r == max(rate) or bool(p) and r >= least for r, p in zip(rate, points)]
+        assert html.extract(page) == "\n".join(t for ps, k in zip(divs, kept) if k for t, _ in ps)
+
+
+@pytest.mark.parametrize("part", ["<a x='", "<a ", "<a '>' ", "<p class=\"x' ", "<a x=\">", "<!--", "</p", "<script>", "<p>"])
+def test_html_broken_markup_takes_linear_time(part):
+    start = time.perf_counter()
+    html.extract(part * (1_000_000 // len(part)))
+    assert time.perf_counter() - start < 6
