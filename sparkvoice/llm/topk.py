@@ -10,8 +10,9 @@ Queries and candidates are dealt by hash into blocks of bounded size; each pair
 of a query's groups are merged. A query enters its groups with a floor: the k-th best score among the pivot sample.
 
 Defined cases: vectors that are null or hold null or non-finite components, and null ids, take no part; shorter
-vectors count as filled up with zeros; of rows with the same id the smallest vector counts; an empty table gives no
-rows; scores beyond 64 bits are cut to the range of a long.
+vectors count as filled up with zeros; of rows with the same id each is a query or candidate of its own, none is a
+candidate for its own id, and the best of all queries of an id are ranked together; an empty table gives no rows;
+scores beyond 64 bits are cut to the range of a long.
 """
 
 from __future__ import annotations
@@ -45,6 +46,12 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.floor(out * 1024.0)
 
 
+def _doubles(column: pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length as rows."""
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1)
+
+
 def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
     """Farthest-first traversal over the sample."""
     if not len(sample):
@@ -94,13 +101,13 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query, k: int = 10, vec_id
     x = F.col(f"`{vector}`").cast("array<double>")
     fit = ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     rows = vectors.filter(F.col(f"`{vec_id}`").isNotNull() & x.isNotNull() & fit)
-    rows = rows.select(F.col(f"`{vec_id}`").cast("long").alias("id"), x.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{vec_id}`").cast("long").alias("id"), x.alias("v"))
     rows = scratch.table(rows.withColumn("asks", F.coalesce(is_query(F.col("id")), F.lit(False))), "vectors")
     floored = F.transform("v", lambda c: F.floor(c * 1024.0).cast("double"))
     norm = F.aggregate(floored, F.lit(0.0), lambda a, c: a + c * c)
     facts = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("asks").cast("long")).alias("q"), F.max(norm).alias("m"), F.max(F.size("v")).alias("dim")).first()
     n, asked, longest, dim = facts["n"], facts["q"] or 0, facts["m"] or 0.0, max(facts["dim"] or 1, 1)
-    sample = rows.orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(SAMPLE).collect()
+    sample = rows.orderBy(F.xxhash64(F.lit(SEED), "id", "row"), "id", "row").limit(SAMPLE).collect()
     s_ids = np.array([r["id"] for r in sample], dtype=np.int64)
     s_rows = _matrix(pa.array([r["v"] for r in sample], pa.list_(pa.float64())), dim) if sample else np.zeros((0, dim))
     lift = lambda m: np.hstack([m, np.sqrt(np.maximum(longest - (m * m).sum(1), 0))[:, None]])
@@ -124,21 +131,21 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query, k: int = 10, vec_id
                 s = np.sort(np.asarray(_exact(s_rows[s_ids != ids[i]], m[i])))[::-1] if ask else []
                 floors.append(int(s[k - 1]) if len(s) >= k else None)
             lists = lambda a: pa.FixedSizeListArray.from_arrays(pa.array(a.ravel()), a.shape[1]).cast(pa.list_(pa.float64())) if a.shape[1] else pa.array([[]] * len(a), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([t["id"].combine_chunks(), t["v"].combine_chunks(), lists(d), lists(dq), t["asks"].combine_chunks(), pa.array(floors, pa.int64())], names=["id", "v", "d", "dq", "asks", "floor"])
+            yield pa.RecordBatch.from_arrays([t["row"].combine_chunks(), t["id"].combine_chunks(), t["v"].combine_chunks(), lists(d), lists(dq), t["asks"].combine_chunks(), pa.array(floors, pa.int64())], names=["row", "id", "v", "d", "dq", "asks", "floor"])
 
-    known = rows.mapInArrow(measured, "id long, v array<double>, d array<double>, dq array<double>, asks boolean, floor long")
+    known = rows.mapInArrow(measured, "row long, id long, v array<double>, d array<double>, dq array<double>, asks boolean, floor long")
     known = scratch.table(known, "pivots")
     q_blocks, r_blocks = max(1, math.ceil(asked / QUERY_BLOCK)), max(1, math.ceil(n / ROW_BLOCK))
-    left = known.filter("asks").select("id", "v", F.col("dq").alias("d"), "floor", F.pmod(F.xxhash64(F.lit(SEED + 1), "id"), F.lit(q_blocks)).alias("qb"))
+    left = known.filter("asks").select("id", "v", F.col("dq").alias("d"), "floor", F.pmod(F.xxhash64(F.lit(SEED + 1), "row"), F.lit(q_blocks)).alias("qb"))
     left = left.withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(r_blocks - 1).cast("long"))))
-    right = known.select("id", "v", "d", F.pmod(F.xxhash64(F.lit(SEED + 2), "id"), F.lit(r_blocks)).alias("rb"))
+    right = known.select("id", "v", "d", F.pmod(F.xxhash64(F.lit(SEED + 2), "row"), F.lit(r_blocks)).alias("rb"))
     right = right.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))))
 
     def pair(asking: pa.Table, given: pa.Table) -> pa.Table:
         out = []
         if asking.num_rows and given.num_rows:
-            ids, rows_, d = given["id"].to_numpy(), _matrix(given["v"], dim), np.array(given["d"].to_pylist())
-            qs, qd = _matrix(asking["v"], dim), np.array(asking["d"].to_pylist())
+            ids, rows_, d = given["id"].to_numpy(), _matrix(given["v"], dim), _doubles(given["d"])
+            qs, qd = _matrix(asking["v"], dim), _doubles(asking["d"])
             for i, q_id in enumerate(asking["id"].to_pylist()):
                 top = float((qs[i] * qs[i]).sum()) + longest
                 found, _ = search_block(ids, rows_, d, q_id, qs[i], qd[i], top, asking["floor"][i].as_py(), k)

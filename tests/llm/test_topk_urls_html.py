@@ -11,19 +11,16 @@ from sparkvoice.llm import html, topk, urls
 
 
 def brute(rows, is_query, k=10):
-    best = {}
+    """As the query's SQL: every row is a candidate for every query row of another id."""
+    held, by = [], {}
     for i, v in rows:
         if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
-        v = [math.floor(1024 * float(np.float32(x))) for x in v]
-        if i not in best or v < best[i]:
-            best[i] = v
-    out = []
-    for q in best:
+        held.append((i, [math.floor(1024 * float(np.float32(x))) for x in v]))
+    for q, v in held:
         if is_query(q):
-            s = sorted((-sum(a * b for a, b in zip(best[q], best[i])), i) for i in best if i != q)[:k]
-            out += [(q, r + 1, i, -x) for r, (x, i) in enumerate(s)]
-    return sorted(out)
+            by.setdefault(q, []).extend((-sum(a * b for a, b in zip(v, w)), i) for i, w in held if i != q)
+    return sorted((q, r + 1, i, -x) for q, s in by.items() for r, (x, i) in enumerate(sorted(s)[:k]))
 
 
 @pytest.mark.parametrize("block", [64, 8192])
