@@ -1,4 +1,4 @@
-"""Making the package importable on executors."""
+"""Making the package importable on executors, and cutting lineage in the folder they share."""
 
 from __future__ import annotations
 
@@ -25,3 +25,18 @@ def ship(spark) -> None:
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(os.path.join(folder, "sparkvoice.zip"))
     _shipped.add(app)
+
+
+def written(df):
+    """df, computed once and kept in the checkpoint folder, which outlives executors. Where none is set, a local master
+    gets a temporary one."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="sparkvoice-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
+    return df.checkpoint()

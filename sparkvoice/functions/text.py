@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value: the tokenizer that holds the spelling map.
+SPELLING_MODEL = "openai/whisper-large-v3"
+
 Normalizer = Callable[[Column], Column]
 
 
@@ -17,8 +20,9 @@ def basic_normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[\p{Punct}]", ""), r"(?U)\s+", " "))
 
 
-def build_normalizer(kind: str | Callable[[str], str] = "whisper_en") -> Normalizer:
-    """A normaliser by name, or one that applies a Python function in Arrow batches."""
+def build_normalizer(kind: str | Callable[[str], str] = "whisper_en", model_id: str = SPELLING_MODEL) -> Normalizer:
+    """A normaliser by name, or one that applies a Python function in Arrow batches. ``whisper_en`` takes its British to
+    American spellings from the tokenizer ``model_id``."""
     if callable(kind):
 
         @F.pandas_udf("string")
@@ -30,10 +34,14 @@ def build_normalizer(kind: str | Callable[[str], str] = "whisper_en") -> Normali
         return basic_normalize
     if kind == "whisper_en":
         try:
+            from transformers import WhisperTokenizer
             from transformers.models.whisper.english_normalizer import EnglishTextNormalizer
         except ImportError as e:
             raise ImportError("the normaliser whisper_en needs the optional package transformers; use 'basic' or pass a function") from e
-        english = EnglishTextNormalizer({})
+        spellings = getattr(WhisperTokenizer.from_pretrained(model_id), "english_spelling_normalizer", None)
+        if not spellings:
+            raise RuntimeError(f"the tokenizer {model_id} holds no spelling map; without one error counts would differ, use 'basic' instead")
+        english = EnglishTextNormalizer(spellings)
         return build_normalizer(lambda t: english(t))
     raise ValueError(f"unknown normaliser {kind!r}; known: 'basic', 'whisper_en', or a function")
 
@@ -46,8 +54,11 @@ def word_distance(reference: Column, hypothesis: Column) -> Column:
     """Least number of word edits, inside the JVM: each distinct word of a pair becomes one letter."""
     r, h = split_words(reference), split_words(hypothesis)
     own = F.array_distinct(F.concat(r, h))
-    # 0x4E00 and up, four hexadecimal digits each; a pair has room for 35,327 distinct words before the surrogates.
-    letters = lambda ws: F.decode(F.unhex(F.array_join(F.transform(ws, lambda w: F.hex(F.lit(0x4E00) + F.array_position(own, w))), "")), "UTF-16BE")
+    # Letters are code points 0x4E00 to 0xD7FF, then 0x10000 and up: eight hexadecimal digits each.
+    room = 0xD7FF - 0x4E00
+    code = lambda i: i + F.when(i <= room, F.lit(0x4E00)).otherwise(F.lit(0x10000 - room))
+    places = lambda ws: F.transform(ws, lambda w: F.array_position(own, w))
+    letters = lambda ws: F.decode(F.unhex(F.array_join(F.transform(places(ws), lambda i: F.lpad(F.hex(code(i)), 8, "0")), "")), "UTF-32")
     return F.levenshtein(letters(r), letters(h)).cast("long")
 
 
@@ -58,20 +69,25 @@ def edit_split(reference: list[str], hypothesis: list[str]) -> tuple[int, int, i
     names = {w: i for i, w in enumerate(dict.fromkeys([*reference, *hypothesis]))}
     r, h = np.array([names[w] for w in reference], dtype=np.int64), np.array([names[w] for w in hypothesis], dtype=np.int64)
     steps = np.arange(m + 1)
-    table = np.empty((n + 1, m + 1), dtype=np.int32)
-    table[0] = steps
+    # One bit a cell says whether the alignment may come from the diagonal, one whether from above.
+    across, above = (np.zeros((n + 1, (m + 8) // 8), dtype=np.uint8) for _ in range(2))
+    row = steps.copy()
     for i in range(n):
-        best = table[i] + 1
-        best[1:] = np.minimum(best[1:], table[i, :-1] + (h != r[i]))
+        best = row + 1
+        best[1:] = np.minimum(best[1:], row[:-1] + (h != r[i]))
         # A run of insertions from any place to the left.
-        table[i + 1] = np.minimum.accumulate(best - steps) + steps
+        new = np.minimum.accumulate(best - steps) + steps
+        across[i + 1] = np.packbits(np.concatenate([[False], new[1:] == row[:-1] + (h != r[i])]))
+        above[i + 1] = np.packbits(new == row + 1)
+        row = new
+    held = lambda bits: bool(bits[i, j >> 3] >> (7 - (j & 7)) & 1)
     s = d = ins = 0
     i, j = n, m
     while i or j:
-        if i and j and table[i, j] == table[i - 1, j - 1] + (r[i - 1] != h[j - 1]):
+        if held(across):
             s += int(r[i - 1] != h[j - 1])
             i, j = i - 1, j - 1
-        elif i and table[i, j] == table[i - 1, j] + 1:
+        elif held(above):
             d, i = d + 1, i - 1
         else:
             ins, j = ins + 1, j - 1

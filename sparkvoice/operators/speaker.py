@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..cluster import written
 from ..functions.vec import cosine, dot, unit
 from .select import carried, in_conditions, name, require, resolve_reference, usable_rows
 
-BLOCK_ROWS = 2048
+#: Rows of a block of pairs, rows that one window orders, pairs for each of a cap beyond which pairs are drawn.
+BLOCK_ROWS, LANE_ROWS, DRAWS = 512, 500_000, 2
 
 
 def paired_similarity(
@@ -30,17 +36,25 @@ def paired_similarity(
     )
 
 
-def dense_index(df: DataFrame, key: str, buckets: int = 64) -> DataFrame:
-    """``__i``: 0 to n - 1, by hashed bucket and then key; no window spans all rows."""
-    df = df.withColumn("__bucket", F.pmod(F.xxhash64(name(key)), F.lit(buckets)))
-    sizes = df.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    place = F.row_number().over(Window.partitionBy("__bucket").orderBy(name(key))) - 1
-    return df.withColumn("__p", place).join(sizes.select("__bucket", before.alias("__before")), "__bucket").withColumn("__i", (F.col("__before") + F.col("__p")).cast("long")).drop("__bucket", "__p", "__before")
+def dense_index(df: DataFrame, key: str, rows: int, within: Iterable[str] = ()) -> DataFrame:
+    """``__i``: 0 to n - 1, of all rows or of each group of ``within``, by hashed bucket and then key. ``rows``: about
+    how many there are; no window spans more than a bucket of about LANE_ROWS of them."""
+    within = list(within)
+    df = df.withColumn("__bucket", F.pmod(F.xxhash64(name(key)), F.lit(max(64, rows // LANE_ROWS))))
+    sizes = df.groupBy(*within, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*within).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy(*within, "__bucket").orderBy(name(key))) - 1
+    found = df.withColumn("__p", place).join(sizes.select(*within, "__bucket", before.alias("__before")), [*within, "__bucket"])
+    return found.withColumn("__i", (F.col("__before") + F.col("__p")).cast("long")).drop("__bucket", "__p", "__before")
+
+
+#: Columns of one side of a pair: name in the result, name in the rows.
+SIDE = {"utt": "utt_id", "speaker": "__speaker", "condition": "__condition", "group": "__group"}
+TRIAL = [f"{c}_{s}" for c in SIDE for s in ("a", "b")]
 
 
 def _side(rows: DataFrame, s: str, *more: str) -> DataFrame:
-    keep = {"utt": "utt_id", "speaker": "__speaker", "condition": "__condition", "group": "__group", "v": "__unit", "i": "__i"}
+    keep = SIDE | {"v": "__unit", "i": "__i"}
     return rows.select(*[F.col(c).alias(f"{k}_{s}") for k, c in keep.items()], *more)
 
 
@@ -51,48 +65,106 @@ def _capped(pairs: DataFrame, cap: int | None, seed: int) -> DataFrame:
     return pairs.orderBy(F.xxhash64(F.lit(seed), "utt_a", "utt_b"), "utt_a", "utt_b").limit(cap)
 
 
+def _in_order(pairs: DataFrame) -> DataFrame:
+    """Pairs of (.._a, .._b) with the smaller utterance as a, each once, with their cosine."""
+    swap = F.col("utt_a") > F.col("utt_b")
+    sides = [F.when(swap, F.col(f"{c}_{t}")).otherwise(F.col(f"{c}_{s}")).alias(f"{c}_{s}") for c in SIDE for s, t in (("a", "b"), ("b", "a"))]
+    return pairs.select(*sides, dot(F.col("v_a"), F.col("v_b")).alias("cosine")).dropDuplicates(["utt_a", "utt_b"])
+
+
+def _all_pairs(rows: DataFrame, n: int, exclude_same_group: bool) -> DataFrame:
+    """Every unordered pair, once, in cells of two blocks of rows that meet by equality of block numbers."""
+    blocks = max(1, -(-n // BLOCK_ROWS))
+    slim = rows.select(*SIDE.values(), "__unit", F.pmod("__i", F.lit(blocks)).cast("int").alias("__block"))
+    cells = lambda c, lo, hi: slim.withColumn(c, F.explode(F.sequence(lo, hi)))
+    left = cells("y", F.col("__block"), F.lit(blocks - 1)).withColumnRenamed("__block", "x")
+    right = cells("x", F.lit(0), F.col("__block")).withColumnRenamed("__block", "y")
+    # Names of their own: a cogroup loses columns that both sides have from one table.
+    right = right.select("x", "y", *[F.col(c).alias(f"{c}_b") for c in [*SIDE.values(), "__unit"]])
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in SIDE.values()}
+    schema = ", ".join([*(f"{k}_{s} {kinds[c]}" for k, c in SIDE.items() for s in ("a", "b")), "cosine double", "label boolean"])
+
+    none = to_arrow_schema(left.sparkSession.createDataFrame([], schema).schema).empty_table()
+
+    def meet(key, a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return none
+        b = b.select([f"{c}_b" for c in [*SIDE.values(), "__unit"]]).rename_columns([*SIDE.values(), "__unit"])
+        unit_of = lambda t: t["__unit"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+        cosines = unit_of(a) @ unit_of(b).T
+        coded = [pc.dictionary_encode(pa.chunked_array([*a[c].chunks, *b[c].chunks], a[c].type), null_encoding="encode").combine_chunks().indices.to_numpy() for c in ("__speaker", "__group")]
+        same, group = (c[: a.num_rows, None] == c[None, a.num_rows :] for c in coded)
+        utts = np.array(a["utt_id"].to_pylist(), dtype=object), np.array(b["utt_id"].to_pylist(), dtype=object)
+        ordered = utts[0][:, None] < utts[1][None, :]
+        # A block with itself gives each pair in its order; of two blocks each pair is met once, in either order.
+        wanted = (ordered if key[0].as_py() == key[1].as_py() else utts[0][:, None] != utts[1][None, :]) & ~(same & group if exclude_same_group else False)
+        i, j = np.nonzero(wanted)
+        swap = pa.array(~ordered[i, j])
+        out = []
+        for c in SIDE.values():
+            x, y = a[c].combine_chunks().take(pa.array(i)), b[c].combine_chunks().take(pa.array(j))
+            out += [pc.if_else(swap, y, x), pc.if_else(swap, x, y)]
+        return pa.table([*out, pa.array(cosines[i, j]), pa.array(same[i, j])], names=[*TRIAL, "cosine", "label"])
+
+    return left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(meet, schema)
+
+
+def _drawn_targets(rows: DataFrame, sizes: DataFrame, n: int, same: int, cap: int, other_group: Column, seed: int) -> DataFrame:
+    """Pairs of one speaker: every speaker is drawn from in proportion to its pairs, whatever its size."""
+    draws = F.ceil(F.lit(DRAWS * cap) * F.col("pairs") / F.lit(same)).cast("long")
+    own = sizes.filter("pairs > 0").select("__speaker", F.col("count").alias("k"), F.explode(F.sequence(F.lit(1).cast("long"), draws)).alias("j"))
+    first = F.pmod(F.xxhash64(F.lit(seed + 3), "__speaker", "j"), F.col("k"))
+    step = F.pmod(F.xxhash64(F.lit(seed + 4), "__speaker", "j"), F.col("k") - 1) + 1
+    own = own.select("__speaker", first.alias("i_a"), F.pmod(first + step, F.col("k")).alias("i_b"))
+    at = dense_index(rows.drop("__i"), "utt_id", n, ["__speaker"])
+    a, b = _side(at, "a"), _side(at, "b")
+    met = own.join(a, (F.col("__speaker") == F.col("speaker_a")) & (own["i_a"] == a["i_a"])).drop(own["i_a"], a["i_a"])
+    met = met.join(b, (F.col("__speaker") == F.col("speaker_b")) & (met["i_b"] == b["i_b"]))
+    return _in_order(met.filter(other_group))
+
+
 def verification_trials(
     df: DataFrame, artifacts: DataFrame, embedding_col: str, speaker_col: str = "subject_id", conditions: Iterable | None = None, group_col: str = "group_id", condition_col: str = "condition",
     exclude_same_group: bool = True, max_target: int | None = 50_000, max_nontarget: int | None = 50_000, seed: int = 0, **usable,
 ) -> DataFrame:
     """Unordered pairs of utterances with cosine and label (same speaker). Pairs of one group are left out of the
-    targets only. Beyond twice a cap, pairs are drawn instead of listed."""
+    targets only. Where there are more than DRAWS times a cap of pairs, pairs are drawn instead of listed."""
     require(df, speaker_col)
     rows = in_conditions(usable_rows(df, artifacts, embedding_col, **usable), condition_col, conditions).filter(name(speaker_col).isNotNull())
     rows = rows.select(
         F.col("utt_id").cast("string").alias("utt_id"), name(speaker_col).alias("__speaker"), (name(condition_col) if condition_col in df.columns else F.lit(None).cast("string")).alias("__condition"),
         (name(group_col) if group_col in df.columns else F.col("utt_id").cast("string")).alias("__group"), unit(F.col("__vector")).alias("__unit"),
     )
-    rows = dense_index(rows, "utt_id").persist()
     n = rows.count()
     if n < 2:
         raise ValueError(f"{n} usable utterances; trials need two")
-    sizes = rows.groupBy("__speaker").count().agg(F.sum(F.expr("count * (count - 1) div 2")).alias("same"), F.count(F.lit(1)).alias("speakers")).first()
-    a, b = _side(rows, "a"), _side(rows, "b")
-    ordered = F.col("utt_a") < F.col("utt_b")
+    rows = written(dense_index(rows, "utt_id", n))
+    sizes = rows.groupBy("__speaker").count().withColumn("pairs", F.expr("count * (count - 1) div 2"))
+    same = sizes.agg(F.sum("pairs")).first()[0]
+    different = n * (n - 1) // 2 - same
     other_group = ~F.col("group_a").eqNullSafe(F.col("group_b")) if exclude_same_group else F.lit(True)
-    targets = _capped(a.join(b, (F.col("speaker_a") == F.col("speaker_b")) & ordered & other_group), max_target, seed)
-    different = n * (n - 1) // 2 - sizes["same"]
-    if max_nontarget is None or different <= 2 * max_nontarget:
-        # Blocks of rows meet by an equality join of block numbers, so no side is held as a whole.
-        blocks = max(1, -(-n // BLOCK_ROWS))
-        ba = a.withColumn("x", F.pmod("i_a", F.lit(blocks))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        bb = b.withColumn("y", F.pmod("i_b", F.lit(blocks))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        others = ba.join(bb, ["x", "y"]).filter(ordered & (F.col("speaker_a") != F.col("speaker_b"))).drop("x", "y")
+    listed = [cap is None or pairs <= DRAWS * cap for pairs, cap in ((same, max_target), (different, max_nontarget))]
+    out = []
+    if listed[1]:
+        both = _all_pairs(rows, n, exclude_same_group)
+        if max_target is None and max_nontarget is None:
+            return both
+        both = written(both)
+        out.append(_capped(both.filter("not label"), max_nontarget, seed))
     else:
-        share = different / (n * (n - 1) / 2)
-        draws = int(2 * max_nontarget / share) + 1000
+        draws = int(DRAWS * max_nontarget * (n * (n - 1) / 2) / different) + 1000
         drawn = rows.sparkSession.range(draws).select(*[F.pmod(F.xxhash64(F.lit(seed + k), "id"), F.lit(n)).alias(f"i_{s}") for k, s in ((1, "a"), (2, "b"))]).distinct()
-        others = drawn.join(a, "i_a").join(b, "i_b").filter(F.col("speaker_a") != F.col("speaker_b"))
-        swap = F.col("utt_a") > F.col("utt_b")
-        names = [c[:-2] for c in others.columns if c.endswith("_a")]
-        others = others.select(*[F.when(swap, F.col(f"{c}_{t}")).otherwise(F.col(f"{c}_{s}")).alias(f"{c}_{s}") for c in names for s, t in (("a", "b"), ("b", "a"))]).dropDuplicates(["utt_a", "utt_b"])
-    others = _capped(others, max_nontarget, seed)
-    out = None
-    for part, label in ((targets, True), (others, False)):
-        part = part.select("utt_a", "utt_b", "speaker_a", "speaker_b", "condition_a", "condition_b", "group_a", "group_b", dot(F.col("v_a"), F.col("v_b")).alias("cosine"), F.lit(label).alias("label"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        met = drawn.join(_side(rows, "a"), "i_a").join(_side(rows, "b"), "i_b").filter(F.col("speaker_a") != F.col("speaker_b"))
+        out.append(_capped(_in_order(met).withColumn("label", F.lit(False)), max_nontarget, seed))
+    if not listed[0]:
+        targets = _drawn_targets(rows, sizes, n, same, max_target, other_group, seed).withColumn("label", F.lit(True))
+    elif listed[1]:
+        targets = both.filter("label")
+    else:
+        a, b = _side(rows, "a"), _side(rows, "b")
+        targets = _in_order(a.join(b, (F.col("speaker_a") == F.col("speaker_b")) & (F.col("utt_a") < F.col("utt_b")) & other_group)).withColumn("label", F.lit(True))
+    out.append(_capped(targets, max_target, seed))
+    return out[1].unionByName(out[0])
 
 
 def require_targets(trials: DataFrame) -> None:
@@ -104,7 +176,7 @@ def equal_error_rate(trials: DataFrame, score_col: str = "cosine", label_col: st
     """One row: eer, threshold, far, frr, n_target, n_nontarget. Thresholds are the scores; of equally good ones the
     smallest. Scores are counted once each; running counts go by range of score, so no window holds all of them."""
     s = trials.select(name(score_col).cast("double").alias("s"), name(label_col).cast("boolean").alias("y")).filter(F.col("s").isNotNull() & ~F.isnan("s") & F.col("y").isNotNull())
-    by = s.groupBy("s").agg(F.sum(F.col("y").cast("long")).alias("t"), F.sum((~F.col("y")).cast("long")).alias("f"))
+    by = written(s.groupBy("s").agg(F.sum(F.col("y").cast("long")).alias("t"), F.sum((~F.col("y")).cast("long")).alias("f")))
     span = by.agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.sum("t").alias("nt"), F.sum("f").alias("nf")).first()
     if not span["nt"] or not span["nf"]:
         raise ValueError("targets and nontargets are both needed")
@@ -121,7 +193,8 @@ def equal_error_rate(trials: DataFrame, score_col: str = "cosine", label_col: st
 
 
 def calibrate(trials: DataFrame) -> DataFrame:
-    """equal_error_rate with the moments of both classes, d_prime and n_speakers, in one row."""
+    """equal_error_rate with the moments of both classes, d_prime and n_speakers, in one row. Trials are made once."""
+    trials = written(trials.select("speaker_a", "speaker_b", "cosine", "label"))
     c = F.when(~F.isnan("cosine"), F.col("cosine"))
     y = F.col("label")
     m = trials.agg(

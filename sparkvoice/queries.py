@@ -67,6 +67,8 @@ def v_speaker(spark, d):
 S_SPEAKER = """v_speaker AS (SELECT vec_id::VARCHAR AS utt_id, label AS subject_id, vec_id // 5 AS group_id, (vec_id % 5)::VARCHAR AS condition,
  list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id % 11 <> 0),
 v_unit AS (SELECT * EXCLUDE (v), v, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM v_speaker)"""
+# All embeddings, whatever their status.
+S_EVERY = S_SPEAKER.replace(" WHERE vec_id % 11 <> 0", "")
 
 
 def v_text(spark, d):
@@ -83,9 +85,10 @@ def v_text(spark, d):
 
 _ASCII = "regexp_replace(text, '[^\\x20-\\x7e]+', ' ', 'g')"
 _NORM = "trim(regexp_replace(regexp_replace(lower({0}), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\s+', ' ', 'g'))"
-S_TEXT = f"""v_raw AS (SELECT conv_id || '_' || turn AS utt_id, conv_id || '_' || (turn // 2) AS group_id, CASE WHEN turn % 2 = 0 THEN 'real' ELSE 'converted' END AS condition,
- role AS subject_id, array_to_string(string_split({_ASCII}, ' ')[1:40], ' ') AS hyp, CASE WHEN conv_id % 9 = 0 THEN 'too_long' ELSE 'ok' END AS status,
- array_to_string(string_split({_ASCII}, ' ')[1:38], ' ') AS text FROM conversations),
+S_TEXT = f"""v_said AS (SELECT *, {_ASCII} AS said FROM conversations),
+v_raw AS (SELECT conv_id || '_' || turn AS utt_id, conv_id || '_' || (turn // 2) AS group_id, CASE WHEN turn % 2 = 0 THEN 'real' ELSE 'converted' END AS condition,
+ role AS subject_id, CASE WHEN turn % 2 = 0 THEN said ELSE said || ' ' || regexp_extract(rtrim(said, ' '), '[^ ]*$') END AS hyp, CASE WHEN conv_id % 9 = 0 THEN 'too_long' ELSE 'ok' END AS status,
+ said AS text FROM v_said),
 v_text AS (SELECT * FROM v_raw WHERE status = 'ok')"""
 
 
@@ -138,7 +141,8 @@ _add("pseudo_reference", lambda s, d: select.resolve_reference(v_scalar(s, d), "
      f"WITH {S_SCALAR} SELECT a.utt_id, round(a.value, 6) AS value, round(b.value, 6) AS reference FROM v_scalar a JOIN v_scalar b ON a.group_id = b.group_id AND b.condition = 'view'")
 _add("without_reference", lambda s, d: select.without_reference(v_text(s, d), "converted", "asr.hypothesis").select("utt_id"), f"WITH {S_TEXT} SELECT utt_id FROM v_raw a WHERE NOT EXISTS (SELECT 1 FROM v_raw b WHERE b.group_id = a.group_id AND b.condition = 'converted')")
 _add("basic_normalize", lambda s, d: v_text(s, d).select("utt_id", text.basic_normalize(F.col("text")).alias("norm")), f"WITH {S_TEXT} SELECT utt_id, {_NORM.format('text')} AS norm FROM v_raw")
-_add("word_count", lambda s, d: _t(s, d, "documents").select("doc_id", scalars.word_count(F.regexp_replace("text", r"[^\x20-\x7e\n]+", "")).cast("long").alias("n_words")), "SELECT doc_id, len(list_filter(string_split(regexp_replace(regexp_replace(text, '[^\\x20-\\x7e\\n]+', '', 'g'), '\\s+', ' ', 'g'), ' '), lambda x: x <> ''))::BIGINT AS n_words FROM documents")
+_add("word_count", lambda s, d: _t(s, d, "documents").select("doc_id", scalars.word_count(F.col("text")).cast("long").alias("n_words")),
+     "SELECT doc_id, len(list_filter(string_split(regexp_replace(coalesce(text, ''), '[\\s\\p{Z}\\x0B\\x1C-\\x1F\\x85]+', ' ', 'g'), ' '), lambda x: x <> ''))::BIGINT AS n_words FROM documents")
 
 #: Least word edits by a table of prefixes: every pair is walked row by row in a recursive query.
 S_EDIT = """, pr AS (SELECT *, list_filter(string_split(reference_norm, ' '), lambda x: x <> '') AS rw, list_filter(string_split(hypothesis_norm, ' '), lambda x: x <> '') AS hw FROM pairs),
@@ -189,10 +193,10 @@ def _trials(s, d, cap=None):
     return speaker.verification_trials(rows, art, COLUMN, status_col=None, max_target=cap, max_nontarget=cap)
 
 
-S_TRIALS = f"""WITH {S_SPEAKER}, tr AS (SELECT a.utt_id AS utt_a, b.utt_id AS utt_b, a.subject_id AS speaker_a, b.subject_id AS speaker_b, a.subject_id = b.subject_id AS label, round(list_dot_product(a.u, b.u), 9) AS cosine
- FROM v_unit a JOIN v_unit b ON a.utt_id < b.utt_id AND (a.subject_id <> b.subject_id OR a.group_id <> b.group_id) WHERE a.condition IN ('0', '1') AND b.condition IN ('0', '1'))"""
+S_TRIALS = f"""WITH {S_EVERY}, tr AS (SELECT a.utt_id AS utt_a, b.utt_id AS utt_b, a.subject_id AS speaker_a, b.subject_id AS speaker_b, a.subject_id = b.subject_id AS label, list_dot_product(a.u, b.u) AS raw, round(raw, 9) AS cosine
+ FROM v_unit a JOIN v_unit b ON a.utt_id < b.utt_id AND (a.subject_id <> b.subject_id OR a.group_id <> b.group_id))"""
 _rounded = lambda df: df.withColumn("cosine", _r(F.col("cosine"), 9))
-_add("verification_trials", lambda s, d: _rounded(_trials(s, d)).select("utt_a", "utt_b", "speaker_a", "speaker_b", "label", _r(F.col("cosine")).alias("cosine")), S_TRIALS + " SELECT utt_a, utt_b, speaker_a, speaker_b, label, round(cosine, 6) AS cosine FROM tr")
+_add("verification_trials", lambda s, d: _trials(s, d).select("utt_a", "utt_b", "speaker_a", "speaker_b", "label", _r(F.col("cosine")).alias("cosine")), S_TRIALS + " SELECT utt_a, utt_b, speaker_a, speaker_b, label, round(raw, 6) AS cosine FROM tr")
 S_EER = """, th AS (SELECT cosine AS s, count(*) FILTER (WHERE label) AS t, count(*) FILTER (WHERE NOT label) AS f FROM tr GROUP BY cosine),
 cu AS (SELECT s, sum(t) OVER () AS nt, sum(f) OVER () AS nf, coalesce(sum(t) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pt,
  coalesce(sum(f) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pf FROM th),
@@ -210,10 +214,11 @@ def _calibrated(s, d):
     return _paired(s, d).select("utt_id", _r(speaker.calibrated_similarity(F.col("cosine"), c), 5).alias("similarity"))
 
 
-_add("calibrated_similarity", _calibrated, S_CAL + """, ps AS (SELECT a.utt_id, list_dot_product(a.u, b.u) AS cosine FROM v_unit a JOIN v_unit b ON a.group_id = b.group_id AND b.condition = '0' WHERE a.condition <> '0')
+_add("calibrated_similarity", _calibrated, S_CAL + """, ok AS (SELECT * FROM v_unit WHERE utt_id::BIGINT % 11 <> 0),
+ ps AS (SELECT a.utt_id, list_dot_product(a.u, b.u) AS cosine FROM ok a JOIN ok b ON a.group_id = b.group_id AND b.condition = '0' WHERE a.condition <> '0')
  SELECT utt_id, round((cosine - mn) / (mt - mn), 5) AS similarity FROM ps, mo""")
 _add("accept_rate", lambda s, d: speaker.accept_rate(_paired(s, d), "cosine", 0.1).withColumn("accept_rate", _r(F.col("accept_rate"))), S_PAIRED + " SELECT round(avg((cosine >= 0.1)::INT), 6) AS accept_rate, count(*) AS n, 0.1::DOUBLE AS threshold FROM ps")
-S_ENROL = f"""WITH {S_SPEAKER}, mem AS (SELECT * FROM v_unit WHERE condition IN ('0', '1', '2')),
+S_ENROL = f"""WITH {S_EVERY}, mem AS (SELECT * FROM v_unit),
 co AS (SELECT subject_id AS speaker, pos, sum(x) AS x FROM (SELECT subject_id, unnest(range(0, len(u))) AS pos, unnest(u) AS x FROM mem) GROUP BY ALL),
 su AS (SELECT speaker, list(x ORDER BY pos) AS s FROM co GROUP BY speaker), nm AS (SELECT subject_id AS speaker, count(*) AS n FROM mem GROUP BY subject_id HAVING count(*) >= 2)"""
 
@@ -232,8 +237,8 @@ def _scored(s, d):
     return speaker.similarity_to_centroid(rows, art, COLUMN, _enrol(s, d), status_col=None).select("utt_id", "subject_id", "n_enrolment", _r(F.col("cosine")).alias("cosine"))
 
 
-_add("similarity_to_centroid", _scored, S_ENROL + """, sc AS (SELECT a.utt_id, a.subject_id, a.u, n - (CASE WHEN a.condition IN ('0', '1', '2') THEN 1 ELSE 0 END) AS k,
- CASE WHEN a.condition IN ('0', '1', '2') THEN list_transform(list_zip(s, a.u), lambda z: z[1] - z[2]) ELSE s END AS c FROM v_unit a JOIN su ON su.speaker = a.subject_id JOIN nm ON nm.speaker = a.subject_id)
+_add("similarity_to_centroid", _scored, S_ENROL + """, sc AS (SELECT a.utt_id, a.subject_id, a.u, n - 1 AS k,
+ list_transform(list_zip(s, a.u), lambda z: z[1] - z[2]) AS c FROM v_unit a JOIN su ON su.speaker = a.subject_id JOIN nm ON nm.speaker = a.subject_id)
  SELECT utt_id, subject_id, k AS n_enrolment, round(list_dot_product(u, c) / sqrt(list_dot_product(c, c)), 6) AS cosine FROM sc""")
 
 DISP = {"source_col": "src", "target_col": "tgt", "key_col": "utt_id", "condition_col": "condition", "source_condition": "view", "baseline_condition": "click"}

@@ -232,3 +232,52 @@ def test_filters(spark):
     assert {r[0] for r in select.duration_floor(df, "m.duration_s", 2.0).collect()} == {"2", "3", "4"}
     with pytest.raises(KeyError):
         select.exclude_flagged_rows(df, "x.status")
+
+
+def test_whisper_normaliser_takes_its_spellings_from_the_tokenizer(spark, monkeypatch):
+    """With a stand-in for the optional package."""
+    import sys
+    import types
+
+    class Tokenizer:
+        english_spelling_normalizer = {"colour": "color"}
+
+        @classmethod
+        def from_pretrained(cls, model_id):
+            assert model_id == text.SPELLING_MODEL
+            return cls()
+
+    seen = []
+    package, inner = types.ModuleType("transformers"), types.ModuleType("transformers.models.whisper.english_normalizer")
+    package.WhisperTokenizer = Tokenizer
+    inner.EnglishTextNormalizer = lambda m: seen.append(m) or (lambda t: t)
+    for k, v in {"transformers": package, "transformers.models": types.ModuleType("m"), "transformers.models.whisper": types.ModuleType("w"), inner.__name__: inner}.items():
+        monkeypatch.setitem(sys.modules, k, v)
+    text.build_normalizer("whisper_en")
+    assert seen == [{"colour": "color"}]
+    Tokenizer.english_spelling_normalizer = None
+    with pytest.raises(RuntimeError, match="spelling"):
+        text.build_normalizer("whisper_en")
+
+
+def test_edit_split_of_long_texts():
+    import random
+
+    rng = random.Random(3)
+    a = [rng.choice("abcdefgh") for _ in range(20_000)]
+    b = [x for x in a if rng.random() < 0.99]
+    assert text.edit_split(a, b) == (0, 20_000 - len(b), 0)
+
+
+def test_trials_of_one_large_speaker_are_drawn(spark):
+    """A speaker with 20,000 rows has 2e8 pairs; they are not listed."""
+    rows = spark.range(20_000).selectExpr("cast(id as string) utt_id", "cast(if(id < 19000, 0, id % 100) as int) subject_id", "id as group_id", "'c' as condition")
+    art = spark.range(20_000).selectExpr("cast(id as string) utt_id", "'e' as column", "array(cast(id % 7 as float), 1f, cast(id % 3 as float)) as value")
+    got = speaker.verification_trials(rows, art, "e", max_target=500, max_nontarget=500, status_col=None).collect()
+    assert [sum(r["label"] == y for r in got) for y in (True, False)] == [500, 500]
+    assert len({(r["utt_a"], r["utt_b"]) for r in got}) == 1000
+    vec = lambda u: np.array([int(u) % 7, 1, int(u) % 3], dtype=float)
+    for r in got:
+        a, b = vec(r["utt_a"]), vec(r["utt_b"])
+        assert r["utt_a"] < r["utt_b"] and (r["speaker_a"] == r["speaker_b"]) == r["label"]
+        assert r["cosine"] == pytest.approx(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
