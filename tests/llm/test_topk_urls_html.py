@@ -184,3 +184,46 @@ def test_html_broken_markup_takes_linear_time(part):
     start = time.perf_counter()
     html.extract(part * (1_000_000 // len(part)))
     assert time.perf_counter() - start < 6
+
+
+def test_url_verdicts_against_brute_force(spark):
+    """Whole verdicts: halves, models of the other half, threshold; a very long, a null and repeated URLs among them."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randrange(1, 7)))
+    us = [f"http://{word()}.{rng.choice(['spam', 'good'])}.test/{word()}/{word()}" for _ in range(250)]
+    us += [us[3], us[3], None, "", "http://long.test/" + "ab" * 3000]
+    df = spark.createDataFrame(list(enumerate(us)), "page_id long, url string")
+    rules = [("block", "spam.test", "/")]
+    out = urls.judge(spark, df, rules=rules, wrong=0.05).collect()
+    halves = {(r["host"], r["path"]): r["h"] for r in spark.createDataFrame([(r["host"], r["path"]) for r in out], "host string, path string").selectExpr("host", "path", "pmod(xxhash64(host, path), 2) AS h").collect()}
+    counts = Counter((r["host"], r["path"]) for r in out)
+    bad = {(r["host"], r["path"]) for r in out if r["rule"]}
+    grams = {}
+    for (h, p), n in counts.items():
+        text = "\x02" * urls.ORDER + h + p + "\x03"
+        for i in range(urls.ORDER, len(text)):
+            for k in range(urls.ORDER + 2):
+                c = grams.setdefault((halves[h, p], (h, p) in bad), Counter())
+                c[text[i - k + 1 : i + 1] if k else ""] += n
+                if k:
+                    c["before", text[i - k + 1 : i]] += n
+    def score(h, p):
+        text, out_ = "\x02" * urls.ORDER + h + p + "\x03", 0.0
+        for i in range(urls.ORDER, len(text)):
+            for sign, b in ((1, False), (-1, True)):
+                c, x = grams.get((1 - halves[h, p], b), Counter()), 1 / urls.ALPHABET
+                for k in range(urls.ORDER + 1):
+                    pull = urls.PULL if k else urls.ALPHABET
+                    x = (c[text[i - k : i + 1]] + pull * x) / (c["before", text[i - k : i]] + pull)
+                out_ += sign * math.log10(x)
+        return out_ / (len(h) + len(p) + 1)
+    want = {u: score(*u) for u in counts}
+    for r in out:
+        assert r["score"] == pytest.approx(want[r["host"], r["path"]], abs=1e-9)
+    fine = sorted(math.floor(want[u] * urls.BIN) for u, n in counts.items() if u not in bad for _ in range(n))
+    limit = next(b for b in dict.fromkeys(fine) if sum(x <= b for x in fine) > 0.05 * len(fine)) / urls.BIN
+    for r in out:
+        u = (r["host"], r["path"])
+        assert r["verdict"] == ("block" if u in bad or want[u] < limit else "allow")
+    said = [r["verdict"] == "block" for r in out if not r["rule"]]
+    assert 0 < sum(said) <= 0.05 * len(said)
