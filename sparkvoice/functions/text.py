@@ -51,15 +51,13 @@ def split_words(text: Column) -> Column:
 
 
 def word_distance(reference: Column, hypothesis: Column) -> Column:
-    """Least number of word edits, inside the JVM: each distinct word of a pair becomes one letter."""
-    r, h = split_words(reference), split_words(hypothesis)
-    own = F.array_distinct(F.concat(r, h))
-    # Letters are code points 0x4E00 to 0xD7FF, then 0x10000 and up: eight hexadecimal digits each.
-    room = 0xD7FF - 0x4E00
-    code = lambda i: i + F.when(i <= room, F.lit(0x4E00)).otherwise(F.lit(0x10000 - room))
-    places = lambda ws: F.transform(ws, lambda w: F.array_position(own, w))
-    letters = lambda ws: F.decode(F.unhex(F.array_join(F.transform(places(ws), lambda i: F.lpad(F.hex(code(i)), 8, "0")), "")), "UTF-32")
-    return F.levenshtein(letters(r), letters(h)).cast("long")
+    """Least number of word edits, in Arrow batches; null counts as the empty text."""
+
+    @F.pandas_udf("long")
+    def least(references: pd.Series, hypotheses: pd.Series) -> pd.Series:
+        return pd.Series([sum(edit_split((r or "").split(), (h or "").split())) for r, h in zip(references, hypotheses, strict=True)], dtype="int64")
+
+    return least(reference, hypothesis)
 
 
 def edit_split(reference: list[str], hypothesis: list[str]) -> tuple[int, int, int]:
