@@ -7,7 +7,10 @@ import string
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from sparkvoice import queries
+from sparkvoice.operators import speaker
 from sparkvoice.queries import QUERIES
 
 
@@ -114,3 +117,42 @@ def test_enrolment_is_of_all_embeddings(spark, voices):
     for i, (n, c) in scored.items():
         rest = sums[i % 4] - units[i]
         assert n == 11 and abs(c - units[i] @ rest / np.linalg.norm(rest)) < 2e-6
+
+
+def shuffled(spark):
+    """MB and rows written to shuffles so far."""
+    gateway = spark.sparkContext._gateway
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    stages = [stages.apply(i) for i in range(stages.size())]
+    return np.array([sum(x.shuffleWriteBytes() for x in stages) / 1e6, sum(x.shuffleWriteRecords() for x in stages)])
+
+
+@pytest.fixture(scope="module")
+def crowd(spark, tmp_path_factory):
+    rng = np.random.default_rng(12)
+    # Some vectors stand twice, some hold zeros only.
+    vectors = rng.normal(size=(1200, 8))
+    vectors[100:140] = vectors[200:240]
+    vectors[300:303] = 0
+    d = tmp_path_factory.mktemp("crowd")
+    spark.createDataFrame([(i, [float(x) for x in v], i % 3) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int").write.parquet(f"file://{d}/embeddings.parquet")
+    return f"file://{d}"
+
+
+@pytest.mark.parametrize("query", ["calibrate"])
+def test_trials_are_counted_without_a_row_for_each(spark, crowd, monkeypatch, query):
+    """719,400 pairs took more than 15 MB of shuffle; their counts take less."""
+    monkeypatch.setattr(speaker, "BLOCK_ROWS", 300)
+    before = shuffled(spark)
+    got = QUERIES[query](spark, crowd).collect()
+    assert (shuffled(spark) - before)[0] < 8
+    listed = queries._trials(spark, crowd).withColumn("cosine", F.round("cosine", 9))
+    want = speaker.calibrate(listed).first().asDict()
+    if query == "calibrated_similarity":
+        paired = {r["utt_id"]: r["cosine"] for r in queries._paired(spark, crowd).collect() if r["cosine"] is not None}
+        for r in got:
+            if r["similarity"] is not None:
+                assert r["similarity"] == pytest.approx((paired[r["utt_id"]] - want["mu_nontarget"]) / (want["mu_target"] - want["mu_nontarget"]), abs=2e-5)
+        return
+    for c, x in got[0].asDict().items():
+        assert x == want[c] if c[:2] == "n_" else x == pytest.approx(want[c], abs=1.1e-6)
