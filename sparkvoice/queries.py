@@ -216,7 +216,7 @@ _add("calibrate", lambda s, d: _calibration(s, d).withColumns({c: _r(F.col(c)) f
 
 
 def _calibrated(s, d):
-    c = speaker.calibrate(_rounded(_trials(s, d))).first().asDict()
+    c = _calibration(s, d).first().asDict()
     return _paired(s, d).select("utt_id", _r(speaker.calibrated_similarity(F.col("cosine"), c), 5).alias("similarity"))
 
 
