@@ -96,7 +96,7 @@ def test_trials_are_of_all_embeddings(spark, voices):
     gap, eer = min((abs((f >= s).mean() - (t < s).mean()), ((f >= s).mean() + (t < s).mean()) / 2) for s in sorted([*t, *f]))
     r = QUERIES["eer"](spark, d).first()
     assert (r["n_target"], r["n_nontarget"]) == (len(t), len(f)) and abs(abs(r["far"] - r["frr"]) - gap) < 3e-6
-    c = QUERIES["calibrate", "calibrated_similarity"](spark, d).first()
+    c = QUERIES["calibrate", "eer", "calibrated_similarity"](spark, d).first()
     want = (t.mean(), t.std(), f.mean(), f.std(), (t.mean() - f.mean()) / np.sqrt((t.var() + f.var()) / 2))
     np.testing.assert_allclose([c[x] for x in ("mu_target", "sd_target", "mu_nontarget", "sd_nontarget", "d_prime")], want, atol=3e-6)
     assert c["n_speakers"] == 4 and abs(c["eer"] - eer) < 3e-6
@@ -139,7 +139,7 @@ def crowd(spark, tmp_path_factory):
     return f"file://{d}"
 
 
-@pytest.mark.parametrize("query", ["calibrate", "calibrated_similarity"])
+@pytest.mark.parametrize("query", ["calibrate", "eer", "calibrated_similarity"])
 def test_trials_are_counted_without_a_row_for_each(spark, crowd, monkeypatch, query):
     """719,400 pairs took more than 15 MB of shuffle; their counts take less."""
     monkeypatch.setattr(speaker, "BLOCK_ROWS", 300)
