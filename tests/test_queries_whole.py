@@ -96,7 +96,7 @@ def test_trials_are_of_all_embeddings(spark, voices):
     gap, eer = min((abs((f >= s).mean() - (t < s).mean()), ((f >= s).mean() + (t < s).mean()) / 2) for s in sorted([*t, *f]))
     r = QUERIES["eer"](spark, d).first()
     assert (r["n_target"], r["n_nontarget"]) == (len(t), len(f)) and abs(abs(r["far"] - r["frr"]) - gap) < 3e-6
-    c = QUERIES["calibrate", "eer", "calibrated_similarity"](spark, d).first()
+    c = QUERIES["calibrate"](spark, d).first()
     want = (t.mean(), t.std(), f.mean(), f.std(), (t.mean() - f.mean()) / np.sqrt((t.var() + f.var()) / 2))
     np.testing.assert_allclose([c[x] for x in ("mu_target", "sd_target", "mu_nontarget", "sd_nontarget", "d_prime")], want, atol=3e-6)
     assert c["n_speakers"] == 4 and abs(c["eer"] - eer) < 3e-6
@@ -156,3 +156,11 @@ def test_trials_are_counted_without_a_row_for_each(spark, crowd, monkeypatch, qu
         return
     for c, x in got[0].asDict().items():
         assert x == want[c] if c[:2] == "n_" else x == pytest.approx(want[c], abs=1.1e-6)
+
+
+def test_trials_copy_a_row_for_few_blocks(spark, crowd, monkeypatch):
+    """Blocks of 10 rows copied every row 121 times."""
+    monkeypatch.setattr(speaker, "BLOCK_ROWS", 10)
+    before = shuffled(spark)
+    assert QUERIES["verification_trials"](spark, crowd).count() == 1200 * 1199 // 2 - sum(i % 3 == j % 3 for g in range(240) for i, j in itertools.combinations(range(5 * g, 5 * g + 5), 2))
+    assert (shuffled(spark) - before)[1] < 40_000
