@@ -6,36 +6,42 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkvoice.cluster import ship
 from sparkvoice.llm import bpe, mixing, neardup, quality, toxicity
-from sparkvoice.llm.common import Scratch, table
+from sparkvoice.llm.common import Scratch, short_batches, table
+
+
+def prepare(spark: SparkSession) -> None:
+    """What every stage needs of its session: the code on executors, and Arrow batches that leave them memory."""
+    ship(spark)
+    short_batches(spark)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and whose host passes them."""
-    ship(spark)
+    prepare(spark)
     return quality.apply_rules(spark, docs)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted to be toxic."""
-    ship(spark)
+    prepare(spark)
     return toxicity.reject(spark, docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8)."""
-    ship(spark)
+    prepare(spark)
     return neardup.keep_one(spark, docs, width=5, limit=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a document once for every round in which words of it are taken, cut to those words."""
-    ship(spark)
+    prepare(spark)
     return mixing.mixed_documents(spark, docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left."""
-    ship(spark)
+    prepare(spark)
     return bpe.digests(spark, docs, bpe.tokenizer_path())
 
 

@@ -103,5 +103,14 @@ def tidy(run, rows: int = 1000):
     return tidied
 
 
+def short_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """From now on this session's Arrow batches take about so many bytes at most. A batch stands in the JVM's buffers
+    and in its worker at the same time, for every core, so long texts in the default 64 MB fill an executor."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = int(spark.conf.get(key).rstrip("b"))
+    if not 0 < held <= most:
+        spark.conf.set(key, f"{most}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -43,6 +43,8 @@ STEMS = (4, 5, 6, 7, 8)
 BLOCK, FIRST, CENTRES = 256, 2, 64
 #: Most frequent terms, whose postings are held as rows with a place for every example; queries that are asked together.
 DENSE, ASKED = 512, 64
+#: Postings, or terms in blocks, that are added up at once, and answers that a task remembers; both bound memory only.
+AT_ONCE, REMEMBERED = 200_000, 10_000
 NEIGHBOURS = 16
 FOLDS = 5
 SEED = 5
@@ -85,9 +87,12 @@ class Index:
         self._weigh()
 
     def _weigh(self):
-        w = (1 + np.log(self.counts)) * self.idf[self.terms]
+        w = np.log(self.counts)
+        w += 1
+        w *= self.idf[self.terms]
         norms = np.sqrt(np.add.reduceat(w * w, self.starts[:-1])) if len(self.ids) else np.zeros(0)
-        self.values = w / np.repeat(norms, np.diff(self.starts))
+        w /= np.repeat(norms, np.diff(self.starts))
+        self.values = w
 
     def _to(self, place: int) -> np.ndarray:
         """Cosines of all examples with one of them."""
@@ -103,13 +108,20 @@ class Index:
         often = often[df[often] > n / 16]
         self.row = np.full(v, -1, dtype=np.int32)
         self.row[often] = np.arange(len(often))
-        places = np.repeat(np.arange(n), np.diff(self.starts))
-        held = self.row[self.terms] >= 0
+        # Every array goes as soon as it is used: a worker has to hold the peak of this beside its share of the executor.
+        places = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.starts))
+        at = self.row[self.terms]
+        held = np.flatnonzero(at >= 0)
         self.rows = np.zeros((len(often), n))
-        self.rows[self.row[self.terms[held]], places[held]] = self.values[held]
+        self.rows[at[held], places[held]] = self.values[held]
         self.edges = np.arange(0, n, BLOCK)
-        by = np.argsort(self.terms[~held], kind="stable")
-        self.places, self.weighed, terms = places[~held][by].astype(np.int32), self.values[~held][by], self.terms[~held][by]
+        by = np.flatnonzero(at < 0)
+        del at, held
+        by = by[np.argsort(self.terms[by], kind="stable")]
+        self.places, terms = places[by], self.terms[by]
+        del places
+        self.weighed = self.values[by]
+        del by
         block = self.places // BLOCK
         # An entry is a term in a block: a run of postings and the largest weight in it.
         first = np.flatnonzero((np.diff(terms, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
@@ -126,9 +138,10 @@ class Index:
     def __setstate__(self, packed):
         self.__dict__.update(pickle.loads(zlib.decompress(packed)))
         self._weigh()
-        self._invert()
         # Searches need the inverted form only.
-        del self.terms, self.counts, self.values
+        del self.counts
+        self._invert()
+        del self.terms, self.values
         give_back()
 
     def weights(self, terms: np.ndarray, counts) -> np.ndarray:
@@ -144,6 +157,8 @@ class Index:
         """The same for several queries of at least one term."""
         n, most, m = len(self.ids), len(self.edges), len(queries)
         terms = np.concatenate([q[0] for q in queries])
+        if m > 1 and (self.lists[terms + 1] - self.lists[terms]).sum() > AT_ONCE:
+            return self.nearest_of(queries[: m // 2], k) + self.nearest_of(queries[m // 2 :], k)
         weights = np.concatenate([self.weights(*q) for q in queries])
         asked = np.repeat(np.arange(m), [len(q[0]) for q in queries])
         row = self.row[terms]
@@ -159,11 +174,17 @@ class Index:
         bound += np.bincount(asked * most + block, weights * self.peaks[entries], minlength=m * most).reshape(m, most)
 
         def add(chosen):
-            at = chosen[asked, block]
+            at = np.flatnonzero(chosen[asked, block])
             e = entries[at]
-            postings, length = _spread(self.cuts[e], self.cuts[e + 1])
-            where = np.repeat(asked[at] * n, length) + self.places[postings]
-            cosines.ravel()[:] += np.bincount(where, np.repeat(weights[at], length) * self.weighed[postings], minlength=m * n)
+            ends = np.cumsum(self.cuts[e + 1] - self.cuts[e], dtype=np.int64)
+            lo = 0
+            # Queries of long texts meet tens of millions of postings: they are laid out a part at a time.
+            while lo < len(at):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + AT_ONCE, "right")))
+                postings, length = _spread(self.cuts[e[lo:hi]], self.cuts[e[lo:hi] + 1])
+                where = np.repeat(asked[at[lo:hi]] * n, length) + self.places[postings]
+                cosines.ravel()[:] += np.bincount(where, np.repeat(weights[at[lo:hi]], length) * self.weighed[postings], minlength=m * n)
+                lo = hi
 
         first = np.zeros((m, most), dtype=bool)
         np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST], True, axis=1)
@@ -297,7 +318,8 @@ def sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str, d
             left -= r["n"]
             held.append(r["id"])
     rows = shown.filter(F.col("id").isin(held)) if len(held) < 2 * EXAMPLES and left < LETTERS // 2 else shown
-    rows = [r for r in rows.select("id", "toxic", "text").toArrow().to_pylist() if r["id"] in set(held)] if held else []
+    held = set(held)
+    rows = [r for r in rows.select("id", "toxic", "text").toArrow().to_pylist() if r["id"] in held] if held else []
     return sorted(rows, key=lambda r: r["id"]), [of_class.get(c, 0) for c in (0, 1)]
 
 
@@ -327,7 +349,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "te
         totals = slim.mapInArrow(tidy(frequencies), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
         seen[totals.column("term").to_numpy()] = totals.column("df").to_numpy()
     idf = (np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1) * factors
-    vectors = [space.counts(r["text"]) for r in rows]
+    vectors = [space.counts(r.pop("text")) for r in rows]
+    give_back()
     full = [i for i, v in enumerate(vectors) if len(v[0])]
     bare = [toxic[i] for i, v in enumerate(vectors) if not len(v[0])]
     prior = of_class[1] / max(1, sum(of_class))
@@ -344,6 +367,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "te
                 votes.append(index.vote(places[other], cosines[other]))
                 truth.append(int(index.toxic[place]))
     index.steps = isotonic(votes, truth, [rates[c] for c in truth], prior)
+    give_back()
     return space, index
 
 
@@ -358,9 +382,9 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "
         own, ix = shared.value
         seen: dict = {}
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
+            texts = (b.column(0).field(inside) if inside is not None else b.column(1)).to_pylist()
             keys = [hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
-            if len(seen) > 100_000:
+            if len(seen) > REMEMBERED:
                 seen.clear()
             # Equal texts are asked once.
             new = [(k, own.counts(t)) for k, t in {k: t for k, t in zip(keys, texts, strict=True) if k not in seen}.items()]
@@ -373,9 +397,11 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "
                         shown = [{"doc_id": int(ix.ids[p]), "cosine": float(c), "toxic": int(ix.toxic[p])} for p, c in zip(places[:3], cosines[:3], strict=True)]
                         seen[k] = (ix.calibrated(ix.vote(places, cosines)), shown)
             scores, shown = zip(*(seen[k] for k in keys), strict=True) if keys else ((), ())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(shown, evidence)], names=[*b.schema.names[:-1], "__score", "__predicted", "__evidence"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(shown, evidence)], names=["__doc", "__score", "__predicted", "__evidence"])
 
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__doc"), F.col(f"`{text}`").alias("__text"))
+    # A text that is kept goes to the workers once, inside its row.
+    inside = keep.index(text) if text in keep else None
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__doc"), *([F.col(f"`{text}`").alias("__text")] if inside is None else []))
     kind = packed.schema["__doc"].dataType.simpleString()
     return packed.mapInArrow(tidy(run), f"__doc {kind}, __score double, __predicted int, __evidence array<struct<doc_id:bigint,cosine:double,toxic:int>>")
 

@@ -4,7 +4,9 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sparkvoice.llm import bpe, toxicity
 
@@ -121,3 +123,19 @@ def test_run_against_brute_force(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, d)
     assert empty.count() == 0
+
+
+def test_workers_get_a_text_once_and_short_batches(spark):
+    """The text went to the workers twice, in batches of any size up to 64 MB."""
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text"))
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, toxic int")
+    corpus_pipeline.prepare(spark)
+    plan = toxicity.reject(spark, docs, labels)._jdf.queryExecution().analyzed().toString()
+    assert "__text" not in plan
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["n"])
+
+    taken = [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()]
+    assert sum(taken) > 40_000_000 and max(taken) < 10_000_000

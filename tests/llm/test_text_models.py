@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -303,3 +304,27 @@ def test_toxicity_keeps_examples_that_are_no_exact_copies(spark):
     labels += [(8000, 1, next(t for i, _, t in labels if i == known[0]))]
     index = toxicity.fit(spark, frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), learns=lambda i: toxicity.id_crc(i) % 5 != 0)[1]
     assert sorted(index.ids.tolist()) == sorted(known)
+
+
+def test_search_holds_few_postings_at_once():
+    """64 texts over one index took more than 100 MB beside it, which two workers of an executor did not have."""
+    rng = np.random.default_rng(4)
+    n, v = 2000, 4000
+    vectors = []
+    for _ in range(n):
+        t = np.sort(rng.choice(v, 150, replace=False)).astype(np.int32)
+        vectors.append((t, rng.integers(1, 4, len(t)).astype(np.int32)))
+    ix = toxicity.Index(np.ones(v), vectors, [i % 2 for i in range(n)], list(range(n)), (1.0, 1.0), 0.0)
+    queries = [(np.arange(k % 2, v, 2, dtype=np.int32), np.ones(v // 2, dtype=np.int32)) for k in range(64)]
+    tracemalloc.start()
+    found = ix.nearest_of(queries)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40_000_000
+    for k in (0, 1):
+        at = [ix.starts[:-1], ix.starts[1:]]
+        cosines = np.array([ix.values[a:b][ix.terms[a:b] % 2 == k].sum() for a, b in zip(*at, strict=True)]) / np.sqrt(v // 2)
+        best = np.lexsort((ix.ids, -cosines.round(12)))[: toxicity.NEIGHBOURS]
+        for places, got in found[k::2]:
+            np.testing.assert_allclose(got, cosines[best], atol=1e-12)
+            np.testing.assert_allclose(cosines[places], got, atol=1e-12)
