@@ -164,3 +164,17 @@ def test_trials_copy_a_row_for_few_blocks(spark, crowd, monkeypatch):
     before = shuffled(spark)
     assert QUERIES["verification_trials"](spark, crowd).count() == 1200 * 1199 // 2 - sum(i % 3 == j % 3 for g in range(240) for i, j in itertools.combinations(range(5 * g, 5 * g + 5), 2))
     assert (shuffled(spark) - before)[1] < 40_000
+
+
+def test_few_rows_are_not_copied_for_each_block(spark, crowd, monkeypatch):
+    """Every row was shuffled once for each of 12 blocks; the result is the same by either way."""
+    monkeypatch.setattr(speaker, "BLOCK_ROWS", 100)
+    found, moved = [], []
+    for most in (speaker.BROADCAST, 0):
+        monkeypatch.setattr(speaker, "BROADCAST", most)
+        before = shuffled(spark)
+        found.append({(r["utt_a"], r["utt_b"]): tuple(r)[2:] for r in queries._trials(spark, crowd).collect() if int(r["utt_a"]) % 9 == 0})
+        moved.append((shuffled(spark) - before)[1])
+    assert found[0].keys() == found[1].keys() and len(found[0]) > 50_000
+    assert all(x[:-2] == (y := found[1][k])[:-2] and x[-1] == y[-1] and (abs(x[-2] - y[-2]) < 1e-12 or x[-2] != x[-2] and y[-2] != y[-2]) for k, x in found[0].items())
+    assert moved[0] < 8_000 < moved[1]
